@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askmill.llm import encode, lookalike, topn
+from askmill.llm import encode, leaks, lookalike, overlap, topn
 from askmill.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.best_documents(table(spark, d, "retrieval"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "examples"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "examples"))
+
+
 def _alike(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.classes(lookalike.titles(table(spark, d, "documents"), table(spark, d, "gold")))
 
@@ -32,12 +40,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_report": p3_report,
         "p4_found": p4_found,
         "p4_canonical": p4_canonical,
         "p6_ids": p6_ids,
+        "p7_found": p7_found,
     }
 
 

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askmill.llm import encode, leaks, lookalike, overlap, topn
+from askmill.llm import encode, leaks, lookalike, overlap, responses, topn
 from askmill.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return responses.defects(table(spark, d, "predictions"), table(spark, d, "gold"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.best_documents(table(spark, d, "retrieval"))
 
@@ -46,6 +50,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_report": p3_report,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askmill.llm import encode, leaks, lookalike, overlap, responses, topn
+from askmill.llm import encode, leaks, lookalike, overlap, reading, responses, topn
 from askmill.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return reading.by_source(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -58,6 +66,8 @@ def queries() -> dict[str, Query]:
         "p4_canonical": p4_canonical,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
+        "p8_found": p8_found,
+        "p8_by_source": p8_by_source,
     }
 
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askmill.plans import nested, nested_sql
+from askmill.plans import core, core_sql, nested, nested_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        **core.QUERIES,
         "p5_found": nested.p5_found,
         "p5_records": nested.p5_records,
         "p5_paragraphs": nested.p5_paragraphs,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**nested_sql.SQL}
+    return {**core_sql.SQL, **nested_sql.SQL}

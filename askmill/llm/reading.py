@@ -49,8 +49,8 @@ def _holding(word: str) -> Column:
     return F.size(F.filter("w", lambda w: F.array_contains(w, word)))
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, features) of every document with at least one sentence, that is, at least one word.
+def features(documents: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, source, features, carried...) of every document with at least one sentence, that is, at least one word.
 
     Each measure of a sentence enters by the quartiles of its distribution over the text, so that a stray
     sentence of another kind moves none of them far; cohesion by the words that neighbouring sentences
@@ -60,7 +60,7 @@ def features(documents: DataFrame) -> DataFrame:
     sentences = F.filter(F.split(text, r"(?<=[.!?…])[»”\"')\]]*\s+"), lambda s: s.rlike(r"\p{L}"))
     rows = (
         documents.where("text IS NOT NULL")
-        .select("doc_id", "source", sentences.alias("s"))
+        .select("doc_id", "source", *carried, sentences.alias("s"))
         .where(F.size("s") > 0)
         .withColumn("m", F.transform("s", _sentence))
         .withColumn("w", F.transform("s", lambda s: F.array_distinct(F.split(F.lower(s), r"[^\p{L}\p{M}]+"))))
@@ -81,9 +81,9 @@ def features(documents: DataFrame) -> DataFrame:
     for language, small in TELLING.items():
         hits = reduce(lambda a, b: a + b, (_holding(k) for k in small.split()))
         columns[f"small_{language}"] = hits / F.size("w")
-    named = rows.select("doc_id", "source", *(c.cast("double").alias(k) for k, c in columns.items()))
+    named = rows.select("doc_id", "source", *carried, *(c.cast("double").alias(k) for k, c in columns.items()))
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(named).select(
-        "doc_id", "source", "features"
+        "doc_id", "source", "features", *carried
     )
 
 
@@ -93,10 +93,12 @@ def grades(labels: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.avg("band").alias("grade"))
 
 
-def graded_sample(feature_rows: DataFrame, labels: DataFrame) -> DataFrame:
+def graded_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, features, grade, fold) of at most ``FIT_ROWS`` graded documents; a source is in one fold."""
-    rows = feature_rows.join(grades(labels), "doc_id")
-    rows = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).repartition(FOLDS))
+    graded = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    # graded texts are picked before anything is measured
+    rows = features(documents.join(graded, "doc_id"), "grade")
+    rows = cut(rows.repartition(FOLDS))
     sources = rows.groupBy(F.coalesce("source", F.lit("")).alias("named")).agg(F.count("*").alias("n"))
     order = sources.orderBy(F.desc("n"), "named").limit(FIT_ROWS).collect()  # of the bounded sample
     # the largest source alone in the first fold, the others dealt out in turn
@@ -150,7 +152,7 @@ def bands(documents: DataFrame, labels: DataFrame) -> DataFrame:
     row. Without any usable grade every band is null. Equal texts have equal bands.
     """
     rows = features(documents)
-    sample = graded_sample(rows, labels)
+    sample = graded_sample(documents, labels)
     if sample.isEmpty():
         return rows.select("doc_id", F.lit(None).cast("int").alias("band"))
     model, step = _trees().fit(sample), calibration(held_out(sample))
@@ -159,7 +161,7 @@ def bands(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def by_source(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Held-out quality per source: (source, n, rmse, agree), where agree is the share of equal rounded bands."""
-    sample = graded_sample(features(documents), labels)
+    sample = graded_sample(documents, labels)
     predicted = held_out(sample)
     expected = calibration(predicted).transform(predicted)
     return expected.groupBy("source").agg(

@@ -155,13 +155,13 @@ def leaked(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEM
     twelve words and a third of its words, with the words of the longest stretch.
 
     ``documents(doc_id, text)`` and ``items(item_id, text)``; both ids unique. Items with the same text count
-    each. Null, empty and wordless texts hold nothing and stand nowhere. Texts are compared whole. Items are
+    each. Null, empty and wordless texts hold nothing and stand nowhere; rows without an id are left out. Texts are compared whole. Items are
     broadcast ``block_items`` at a time and each block is searched for in all documents, so that the size
     of what is broadcast doesn't grow with either table.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     blocks = max(1, -(-wanted.count() // block_items))
     out = None
     for block in range(blocks):

@@ -97,7 +97,7 @@ def graded_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, features, grade, fold) of at most ``FIT_ROWS`` graded documents; a source is in one fold."""
     graded = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     # graded texts are picked before anything is measured
-    rows = features(documents.join(graded, "doc_id"), "grade")
+    rows = features(documents.select("doc_id", "text", "source").join(graded, "doc_id"), "grade")
     rows = cut(rows.repartition(FOLDS))
     sources = rows.groupBy(F.coalesce("source", F.lit("")).alias("named")).agg(F.count("*").alias("n"))
     order = sources.orderBy(F.desc("n"), "named").limit(FIT_ROWS).collect()  # of the bounded sample

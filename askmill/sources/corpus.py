@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bz2
-import io
 import tarfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,29 @@ from askmill.functions.text import canonical_title, joined_text
 _LINE = "source string, line long, value string"
 
 
+_CHUNK = 1 << 20
+
+
+def _decompressed(chunks):
+    """Compressed chunks, possibly of several streams in a row, as plain ones."""
+    stream = bz2.BZ2Decompressor()
+    for chunk in chunks:
+        while chunk:
+            if stream.eof:
+                stream = bz2.BZ2Decompressor()
+            yield stream.decompress(chunk)
+            chunk = stream.unused_data
+
+
+def _lines(chunks):
+    rest = b""
+    for chunk in chunks:
+        *whole, rest = (rest + chunk).split(b"\n")
+        yield from whole
+    if rest:
+        yield rest
+
+
 class _Archive(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -34,12 +56,13 @@ class _ArchiveReader(DataSourceReader):
             for member in archive:
                 if not member.isfile():
                     continue
-                stream = archive.extractfile(member)
+                chunks = iter(lambda stream=archive.extractfile(member): stream.read(_CHUNK), b"")
                 if member.name.endswith(".bz2"):
-                    stream = bz2.BZ2File(stream)
-                for number, line in enumerate(io.TextIOWrapper(stream, encoding="utf-8"), start=1):
-                    if line.strip():
-                        yield member.name, number, line.rstrip("\n")
+                    chunks = _decompressed(chunks)
+                for number, line in enumerate(_lines(chunks), start=1):
+                    text = line.decode("utf-8").rstrip("\r")
+                    if text.strip():
+                        yield member.name, number, text
 
 
 class ArchiveLines(DataSource):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +41,22 @@ def build_shards(numbered: DataFrame, size: int, folder: str, encode) -> DataFra
     written is written again.
     """
     spark = numbered.sparkSession
+    vectors, ledger = f"{folder}/vectors", f"{folder}/ledger"
     sharded = numbered.withColumn("shard_index", F.floor((F.col("rowid") - 1) / size).cast("bigint"))
-    vectors = os.path.join(folder, "vectors")
-    if os.path.exists(os.path.join(vectors, "_SUCCESS")):
-        done = spark.read.parquet(vectors).select("shard_index").distinct()
-        sharded = sharded.join(done, "shard_index", "left_anti")
-    encode(sharded).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_index").parquet(vectors)
-    return shard_ledger(spark.read.parquet(vectors))
+    try:
+        done = spark.read.parquet(ledger)
+        todo = sharded.join(done, "shard_index", "left_anti")
+    except AnalysisException:  # nothing is there yet
+        todo = sharded
+    encode(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_index").parquet(vectors)
+    # a shard counts only once it stands in the ledger, and that is written after its rows
+    built = shard_ledger(spark.read.parquet(vectors))
+    try:
+        built = built.join(spark.read.parquet(ledger), "shard_index", "left_anti")
+    except AnalysisException:
+        pass
+    built.write.mode("append").parquet(ledger)
+    return spark.read.parquet(ledger)
 
 
 def shard_ledger(sharded: DataFrame) -> DataFrame:

@@ -355,6 +355,23 @@ def bootstrap_exact(spark, d):
     return stats.bootstrap_exact(rows.select(F.coalesce("level", F.lit("unknown")).alias("level"), "f1"), "f1", "level", 200, 11)
 
 
+def reader_summary(spark, d):
+    rows = table(spark, d, "predictions")
+    ok = F.coalesce(F.col("extraction.status") == "ok", F.lit(False))
+    exhausted = F.coalesce("budget_exhausted", F.lit(False))
+    return rows.groupBy("run_name").agg(
+        F.count("*").alias("n"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("generated_tokens").alias("generated_tokens"),
+        F.round(F.avg("latency_seconds"), 9).alias("mean_latency"),
+        F.min("latency_seconds").alias("least_latency"),
+        F.max("latency_seconds").alias("most_latency"),
+        F.count_if(exhausted).alias("n_exhausted"),
+        F.count_if(ok).alias("n_ok"),
+        F.bool_and(ok & ~exhausted).alias("gate"),
+    )
+
+
 # parsing and prompts
 
 
@@ -418,7 +435,7 @@ NAMES = (
     "answer_norm answer_f1 answer_macro evaluate_examples evaluate_macro hash_slice two_phase_slice systematic_sample distractors append_distractors "
     "gold_semi_join anti_join_pool fact_sentence_join ref_range_issues record_violations ranking_violations metric_compare_tol ranking_equivalence "
     "run_compare cross_input_duplicates positional_compare prompt_sha256 shard_ledger shard_contiguity dense_topk l2_normalise_mrl norm_error_check "
-    "cohens_dz quantile_p50_p95 signflip_exact signflip_sampled bootstrap_hash paired_bootstrap_hash bootstrap_exact final_answer_parse "
+    "cohens_dz quantile_p50_p95 reader_summary signflip_exact signflip_sampled bootstrap_hash paired_bootstrap_hash bootstrap_exact final_answer_parse "
     "reasoning_detect boxed_parse serialize_context budget_truncation example_seed compute_projection unicode_title stream_term_counts"
 ).split()
 

@@ -277,6 +277,16 @@ SELECT n, round(o::DOUBLE / 1099511627776 / n, 9) AS observed, count(*) FILTER (
   round((count(*) FILTER (s >= o) + 1) / (count(*) + 1), 9) AS p_value FROM sums, o GROUP BY n, o""",
     "bootstrap_hash": _SCORED + ", mine AS (SELECT * FROM scored WHERE run_name = 'reader_base')" + _bootstrap("mine", "example_id", "f1", 5, 100),
     "paired_bootstrap_hash": _DIFFS + _bootstrap("diffs", "example_id", "diff", 5, 100),
+    "reader_summary": """SELECT run_name, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens, sum(generated_tokens)::BIGINT AS generated_tokens,
+  round(avg(latency_seconds), 9) AS mean_latency, min(latency_seconds) AS least_latency, max(latency_seconds) AS most_latency,
+  count(*) FILTER (budget_exhausted) AS n_exhausted, count(*) FILTER (extraction.status = 'ok') AS n_ok,
+  bool_and(coalesce(extraction.status = 'ok', false) AND NOT coalesce(budget_exhausted, false)) AS gate FROM predictions GROUP BY 1""",
+    "final_answer_parse": r"""WITH k AS (SELECT prediction_id, trim(string_split_regex(raw_output, '<\|(?:im_end|endoftext|end)\|>')[1]) AS kept FROM predictions),
+l AS (SELECT *, regexp_extract_all(kept, '(?im)^[ \t]*(?:final[ \t]+)?answer[ \t]*:\s*(.*)$', 1) AS lines FROM k),
+u AS (SELECT *, trim(regexp_replace(trim(lines[-1]), '(?s)^\$?\s*\\boxed\{(.*)\}\s*\$?$', '\1')) AS u FROM l),
+v AS (SELECT *, CASE WHEN regexp_matches(u, '^\$\s*\$$') THEN '' ELSE u END AS a FROM u),
+s AS (SELECT *, CASE WHEN coalesce(kept, '') = '' THEN 'empty' WHEN len(lines) = 0 THEN 'missing_final_answer' WHEN a = '' THEN 'empty_final_answer' ELSE 'ok' END AS status FROM v)
+SELECT prediction_id, CASE WHEN status = 'ok' THEN a END AS answer, status, CASE WHEN len(lines) > 0 THEN 'last_answer_line' ELSE 'none' END AS method FROM s""",
     "compute_projection": """WITH r AS (SELECT run_name, count(*) AS n, sum(latency_seconds) AS s FROM predictions WHERE latency_seconds > 0 GROUP BY 1)
 SELECT run_name, round(n / s, 6) AS rate, floor(5233235 / (n / s) * 1.25 / 3600 + 0.999999999)::BIGINT AS hours FROM r""",
     "example_seed": "SELECT DISTINCT identifier, (('0x' || substr(sha256('42' || chr(0) || identifier), 1, 16))::UBIGINT)::VARCHAR AS seed FROM examples WHERE identifier IS NOT NULL",

@@ -1,17 +1,15 @@
 """Records of evaluation splits that stand, the same or nearly the same, in the training split too.
 
-The different texts are laid out as one suffix array: their word suffixes in sorted order, spread over
-the cluster by range. Suffixes that lie next to each other and come from different splits share a long
-prefix; the spans shared by two texts are merged into their coverage, and well covered pairs are verified
-word by word.
+Two wordings of one question may differ by small words, slips of typing and a lead-in on one side. So on the
+other side every word that is not small has the same word, or one a slip away, across. Each text is looked up
+under the rarest of its words and that word's slips, and the texts found are verified word by word. Nothing
+is cut off: every pair that passes the verification is among the candidates.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +19,11 @@ from askmill.llm.graph import components
 from askmill.llm.wordforms import slip, words
 from askmill.tables import cut
 
-#: Characters of a suffix that are sorted. A longer shared span goes on in the suffixes that start within it.
-SUFFIX = 160
-#: Characters that neighbouring suffixes must share for a span, and neighbours looked at on either side.
-SPAN = 10
-NEIGHBOURS = 8
-#: Part of the shorter text that the longest span, and that all spans together must cover in a pair.
-LONGEST = 0.15
-COVERAGE = 0.25
 #: Slips of typing that two wordings of one question may differ by, and words of a lead-in.
 SLIPS = 2
 LEAD = 4
+#: Words up to this length are looked up with one letter left out, longer ones by their halves.
+SHORT = 24
 #: Small words that may be added or dropped (fixed values; English, German, French, Spanish).
 SMALL = frozenset(
     "a an the of in on at to for by and exactly please just now then so well here actually really also "
@@ -48,134 +40,73 @@ def wording(text: pd.Series) -> pd.Series:
 
 
 def texts_of(records: DataFrame) -> DataFrame:
-    """The different wordings of ``records(text, held)`` as (tid, wording, splits): 1 training, 2 held-out, 3 both."""
-    return records.groupBy(F.md5("wording").alias("tid"), "wording").agg(F.bit_or(F.when(F.col("held"), 2).otherwise(1)).alias("splits"))
-
-
-_PIECE = 10_000
-
-
-def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The suffixes of each text that start with a word, some thousands at a time; linear in its length."""
-    rows: list[tuple] = []
-
-    def piece() -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["suffix", "tid", "splits", "start", "size"])
-        rows.clear()
-        return out.astype({"splits": "int32", "start": "int32", "size": "int32"})
-
-    for batch in batches:
-        for tid, text, splits in zip(batch["tid"], batch["wording"], batch["splits"], strict=True):
-            at, size = 0, len(text)
-            while size - at >= SPAN:
-                rows.append((text[at : at + SUFFIX], tid, splits, at + 1, size))
-                if len(rows) >= _PIECE:
-                    yield piece()
-                space = text.find(" ", at)
-                if space < 0:
-                    break
-                at = space + 1
-    if rows:
-        yield piece()
-
-
-def suffix_array(texts: DataFrame) -> DataFrame:
-    """(suffix, tid, splits, start, size), sorted by suffix within and across partitions."""
-    rows = texts.select("tid", "wording", "splits").mapInPandas(_suffixes, "suffix string, tid string, splits int, start int, size int")
-    return rows.repartitionByRange("suffix", "tid", "start").sortWithinPartitions("suffix", "tid", "start")
-
-
-def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while lo < hi - 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
-    return lo
-
-
-def _neighbours(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans shared by rows of a sorted piece of the array that lie at most ``NEIGHBOURS`` apart."""
-    s, splits = rows["suffix"].tolist(), rows["splits"].to_numpy()
-    near = np.array([_common(a, b) for a, b in zip(s, s[1:], strict=False)], dtype=np.int64)
-    tid, start, size = rows["tid"].to_numpy(), rows["start"].to_numpy(), rows["size"].to_numpy()
-    parts, shared = [], near
-    for d in range(1, min(NEIGHBOURS, len(s) - 1) + 1):
-        if d > 1:
-            shared = np.minimum(shared[:-1], near[d - 1 :])
-        i = np.flatnonzero((shared >= SPAN) & ((splits[:-d] | splits[d:]) == 3))
-        i = i[tid[i] != tid[i + d]]
-        first = tid[i] < tid[i + d]
-        a, b = np.where(first, i, i + d), np.where(first, i + d, i)
-        parts.append(
-            pd.DataFrame(
-                {"a": tid[a], "b": tid[b], "start": start[a], "span": shared[i], "least": np.minimum(size[a], size[b])}
-            )
-        )
-    return pd.concat(parts) if parts else pd.DataFrame({k: [] for k in ("a", "b", "start", "span", "least")})
-
-
-_SPANS = "a string, b string, start int, span int, least int"
-
+    """The different wordings of ``records(wording)`` as (tid, wording)."""
+    return records.select(F.md5("wording").alias("tid"), "wording").distinct()
 
-def _spans_within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Neighbours within a partition, a piece at a time; a piece begins with the last rows of the one before."""
-    held = None
-    for batch in batches:
-        piece = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        found = _neighbours(piece.reset_index(drop=True))
-        yield found.astype({"start": "int32", "span": "int32", "least": "int32"})
-        held = piece.tail(NEIGHBOURS)
 
+def _slip_keys(w: Column) -> Column:
+    """Hashes of which two words of three letters or more share one at least if one slip leads from one to the other.
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The first and last rows of a partition, each with the number of the border that it lies at."""
-    from pyspark import TaskContext
+    Short words: the word, and the word less each of its letters. In long ones a slip touches two neighbouring
+    letters at most and leaves the first or the last letters, just under a half, as they were; these are
+    kept with the larger length of the two words. Linear in the length of a long word.
+    """
+    n = F.length(w)
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))))
+    short = F.when(n <= SHORT, F.array_append(less, F.xxhash64(w)))
+    halves = []
+    for more in (0, 1):
+        size = n + more
+        half = F.floor(size / 2).cast("int") - 1
+        halves += [F.xxhash64(size, F.lit("first"), F.left(w, half)), F.xxhash64(size, F.lit("last"), F.right(w, half))]
+    long = F.when(n >= SHORT, F.array(*halves))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(F.coalesce(short, none), F.coalesce(long, none)))
 
-    pid = TaskContext.get().partitionId()
-    head, tail, seen = None, None, 0
-    for batch in batches:
-        head = batch if head is None else (pd.concat([head, batch]) if len(head) < NEIGHBOURS else head)
-        head = head.head(NEIGHBOURS)
-        tail = (batch if tail is None else pd.concat([tail, batch])).tail(NEIGHBOURS)
-        seen += len(batch)
-    if seen:
-        yield head.assign(border=pid)
-        yield tail.assign(border=pid + 1)
 
+@F.pandas_udf(T.BooleanType())
+def _slips(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x.isalpha() and y.isalpha() and slip(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-def shared_spans(array: DataFrame) -> DataFrame:
-    """(a, b, start, span, least) of neighbouring suffixes of different splits; ``array`` must be materialised."""
-    within = array.mapInPandas(_spans_within, _SPANS)
-    edges = array.mapInPandas(_edges, "suffix string, tid string, splits int, start int, size int, border int")
 
-    def across(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["suffix", "tid", "start"]).drop_duplicates(["suffix", "tid", "start"]).reset_index(drop=True)
-        return _neighbours(rows).astype({"start": "int32", "span": "int32", "least": "int32"})
+def near_words(vocabulary: DataFrame) -> DataFrame:
+    """(w, near): different words of ``vocabulary(w)`` that ``same_question`` takes for slips of each other, both ways round."""
+    keys = vocabulary.where((F.length("w") > 2) & ~F.col("w").rlike("[0-9]")).select("w", F.explode(_slip_keys(F.col("w"))).alias("key"))
+    pairs = keys.join(keys.withColumnRenamed("w", "near"), "key").where("w < near").select("w", "near").distinct()
+    pairs = cut(pairs.where(_slips("w", "near")))
+    return pairs.unionByName(pairs.select(F.col("near").alias("w"), F.col("w").alias("near")))
 
-    # at most twice the neighbours stand at a border
-    return within.unionByName(edges.groupBy("border").applyInPandas(across, _SPANS)).distinct()
 
+def candidates(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of ``texts(tid, wording)``, among them every pair of ``same_question``.
 
-def covered(spans: DataFrame) -> DataFrame:
-    """(a, b) of texts whose spans, merged, cover enough of the shorter one."""
-    pairs = spans.groupBy("a", "b").agg(
-        F.max("least").alias("least"),
-        F.max("span").alias("longest"),
-        F.array_sort(F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("span")).alias("end")))).alias("spans"),
-    )
-    merged = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("covered"), F.lit(0).alias("reach")),
-        lambda acc, s: F.struct(
-            (acc.covered + F.greatest(s.end - F.greatest(s.start, acc.reach), F.lit(0))).alias("covered"),
-            F.greatest(s.end, acc.reach).alias("reach"),
-        ),
-        lambda acc: acc.covered,
+    Of two such wordings one, the side without a lead-in, has a counterpart for each of its words but small
+    ones. It is looked up under the one whose counterparts stand in the fewest texts; wordings of small words only are
+    compared with those that are short enough to be a lead-in. The work grows with the texts that share their
+    rarest word: with the square of those that hold nothing but frequent words.
+    """
+    small = sorted(SMALL)
+    split = F.split("wording", " ")
+    own = F.size(F.filter(split, lambda w: ~w.isin(small))).alias("own")
+    placed = texts.select("tid", own, F.explode(F.array_distinct(split)).alias("w"))
+    vocabulary = cut(placed.groupBy("w").agg(F.count("*").alias("n")))
+    near = near_words(vocabulary)
+    more = near.join(vocabulary.withColumnRenamed("w", "near"), "near").groupBy("w").agg(F.sum("n").alias("more"))
+    cost = vocabulary.join(more, "w", "left").select("w", (F.col("n") + F.coalesce("more", F.lit(0))).alias("cost"))
+    rarest = cut(
+        placed.where(~F.col("w").isin(small))
+        .join(cost, "w")
+        .groupBy("tid", "own")
+        .agg(F.min(F.struct("cost", "w")).alias("least"))
+        .select("tid", "own", F.col("least.w").alias("w"))
     )
-    return pairs.where(F.col("longest") >= F.col("least") * LONGEST).where(merged >= F.col("least") * COVERAGE).select("a", "b")
+    lookup = rarest.unionByName(rarest.join(near, "w").select("tid", "own", F.col("near").alias("w")))
+    wordings = texts.select("tid", own, F.lit("").alias("w"))
+    lookup = lookup.unionByName(wordings.where("own = 0"))
+    found = placed.unionByName(wordings.where(F.col("own") <= SLIPS + LEAD))
+    pairs = lookup.toDF("s", "own_s", "w").join(found.toDF("t", "own_t", "w"), "w")
+    fits = F.col("own_t").between(F.col("own_s") - SLIPS, F.col("own_s") + SLIPS + LEAD)
+    return pairs.where((F.col("s") != F.col("t")) & fits).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
 def same_question(a: list[str], b: list[str]) -> bool:
@@ -201,7 +132,7 @@ def same_question(a: list[str], b: list[str]) -> bool:
         other = rb if rest is ra else ra
         if not [w for w in other if w not in SMALL]:
             for w in lead:
-                if w.isalpha():
+                if w.isalpha() and w in rest:  # a word that leads twice may be left over once
                     rest.remove(w)
     return all(w in SMALL for w in (*ra, *rb))
 
@@ -223,14 +154,13 @@ def _alike_enough(a: Column, b: Column) -> Column:
 def same_texts(texts: DataFrame) -> DataFrame:
     """(tid, question): texts that put one question in different wordings, with the name they share.
 
-    Links between wordings are closed transitively, so that wordings that were no neighbours of each other
-    in the array still meet if others lead from one to the other.
+    Links between wordings of any splits are closed transitively.
     """
-    array = cut(suffix_array(texts))
-    pairs = covered(shared_spans(array))
+    texts = cut(texts)
     side = texts.select("tid", "wording")
     verified = (
-        pairs.join(side.toDF("a", "wa"), "a")
+        candidates(side)
+        .join(side.toDF("a", "wa"), "a")
         .join(side.toDF("b", "wb"), "b")
         .where(_alike_enough(F.split("wa", " "), F.split("wb", " ")))
         .where(_same("wa", "wb"))

@@ -80,3 +80,31 @@ def test_components_of_chains(spark):
     got = components(spark.createDataFrame(links, "a string, b string")).collect()
     assert {r.component for r in got} == {"000", "900"} and len(got) == 62
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def slipped(word):
+    """Different words one slip of typing away from ``word``."""
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in "bkqvwxyz"]
+
+
+def test_many_wordings_of_one_split_meet_the_other(spark):
+    train = [(BASE.replace("located", w), "A", "train") for w in slipped("located")[:40]]
+    assert found(spark, [*train, (BASE, "A", "test")]) == {(i, 40) for i in range(40)}
+
+
+def test_wordings_of_one_split_chain(spark):
+    steps = [BASE, BASE.replace("located", "lcoated").replace("worked", "wokred")]
+    steps.append(steps[1].replace("town", "twon").replace("Bastok", "Batsok"))
+    assert not O.same_question(words(steps[0]), words(steps[2]))
+    assert found(spark, [(steps[0], "A", "test"), (steps[1], "A", "train"), (steps[2], "A", "train")]) == {(0, 1), (0, 2)}
+
+
+def test_candidates_hold_every_pair(spark):
+    draw = random.Random(7)
+    vocabulary = ["the", "of", "in", "who", "town", "twon", "towns", "river", "rivre", "1685", "1686", "thee", "aa", "ab", "x" * 40, "x" * 39 + "y", "x" * 39]
+    texts = sorted({" ".join(draw.choices(vocabulary, k=draw.randint(1, 7))) for _ in range(400)})
+    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "tid string, wording string")
+    got = {(r.a, r.b) for r in O.candidates(df).collect()}
+    split = [t.split() for t in texts]
+    want = {(f"{i:03d}", f"{j:03d}") for j in range(len(texts)) for i in range(j) if O.same_question(split[i], split[j]) or O.same_question(split[j], split[i])}
+    assert want and want <= got

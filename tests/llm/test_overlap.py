@@ -108,3 +108,9 @@ def test_candidates_hold_every_pair(spark):
     split = [t.split() for t in texts]
     want = {(f"{i:03d}", f"{j:03d}") for j in range(len(texts)) for i in range(j) if O.same_question(split[i], split[j]) or O.same_question(split[j], split[i])}
     assert want and want <= got
+
+
+def test_long_texts_with_one_letter_changed(spark):
+    draw = random.Random(3)
+    long = " ".join("".join(draw.choices("abcdefghij", k=7)) for _ in range(600))
+    assert found(spark, [(long, "A", "train"), (long[:2400] + "z" + long[2401:], "A", "test")]) == {(0, 1)}

@@ -7,7 +7,6 @@ and the overlap around it is verified word by word, where single changed or miss
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askmill.llm.wordforms import slip, words
+from askmill.tables import cut
 
 #: 1: the word counts; 0: it is ignored. Any stretch of twelve words in which changed words have at least
 #: five words between them is hit by one of them.
@@ -83,12 +83,12 @@ def _seed_rows(known):
     return run
 
 
-def stretch(doc: list[str], item: list[str], diagonal: int, rare: frozenset[str] | None = None) -> int:
+def stretch(doc: list[str], item: list[str], diagonal: int, common: frozenset[str] = frozenset()) -> int:
     """Words of the longest stretch of ``item`` that ``doc`` holds along ``diagonal`` (document less item position).
 
     A misspelt word (one slip, four letters or more) counts as the same. A changed word is let pass if at
     least ``CHANGE_GAP`` same words lie between it and the next changed one, as long as changed words are
-    at most ``CHANGE_SHARE`` of the stretch and fewer than its same words out of ``rare``: two passages of
+    at most ``CHANGE_SHARE`` of the stretch and fewer than its same words not in ``common``: two passages of
     one mould agree in its common words and differ in what is told.
     """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
@@ -98,7 +98,7 @@ def stretch(doc: list[str], item: list[str], diagonal: int, rare: frozenset[str]
     telling = [0]
     other = set(changed)
     for i in range(lo, hi):
-        telling.append(telling[-1] + (i not in other and (rare is None or item[i] in rare)))
+        telling.append(telling[-1] + (i not in other and item[i] not in common))
     best = 0
     marks = [lo - 1, *changed, hi]
     for s in range(len(marks) - 1):
@@ -120,17 +120,26 @@ def stretch(doc: list[str], item: list[str], diagonal: int, rare: frozenset[str]
     return best
 
 
-def rare_words(items: list[list[str]]) -> frozenset[str]:
-    """Words in at most two percent of the items (in four of them, if that is more)."""
-    counts = Counter(w for t in items for w in set(t))
-    most = max(4, len(items) // 50)
-    return frozenset(w for w, n in counts.items() if n <= most)
+def _wordings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"wording": [" ".join(words(t)) for t in batch["text"]]})
 
 
-def _verify(items):
+def common_words(items: DataFrame) -> frozenset[str]:
+    """Words in more than two percent of the different texts of ``items(text)`` (in more than four of them, if that is more).
+
+    Texts of the same words count once. At most fifty times the words of a mean text are common, however many items there are.
+    """
+    texts = items.select("text").distinct().mapInPandas(_wordings, "wording string").where("wording != ''").distinct()
+    texts = cut(texts)
+    most = max(4, texts.count() // 50)
+    counts = texts.select(F.explode(F.array_distinct(F.split("wording", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return frozenset(r.w for r in counts.where(F.col("n") > most).select("w").toLocalIterator())
+
+
+def _verify(items, common: frozenset[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = {k: words(t) for k, t in items.value.items()}
-        rare = rare_words(list(of.values()))
         for batch in batches:
             docs, found = [], []
             for doc_id, text, candidates in zip(batch["doc_id"], batch["text"], batch["candidates"], strict=True):
@@ -140,7 +149,7 @@ def _verify(items):
                     item = of[c["item_id"]]
                     need = max(LEAST_WORDS, len(item) * LEAST_SHARE)
                     if longest.get(c["item_id"], 0) < need:
-                        longest[c["item_id"]] = max(longest.get(c["item_id"], 0), stretch(doc, item, c["diagonal"], rare))
+                        longest[c["item_id"]] = max(longest.get(c["item_id"], 0), stretch(doc, item, c["diagonal"], common))
                 for k, size in longest.items():
                     if size >= max(LEAST_WORDS, len(of[k]) * LEAST_SHARE):
                         docs.append(doc_id)
@@ -163,16 +172,17 @@ def leaked(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEM
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     blocks = max(1, -(-wanted.count() // block_items))
+    common = common_words(wanted)
     out = None
     for block in range(blocks):
         mine = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         texts = {r.item_id: r.text for r in mine.toLocalIterator()}
-        found = _leaked_block(spark, docs, mine, texts)
+        found = _leaked_block(spark, docs, mine, texts, common)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _leaked_block(spark, docs: DataFrame, mine: DataFrame, texts: dict[int, str]) -> DataFrame:
+def _leaked_block(spark, docs: DataFrame, mine: DataFrame, texts: dict[int, str], common: frozenset[str]) -> DataFrame:
     row, _, key = seeds([words(t) for t in texts.values()])
     known = spark.sparkContext.broadcast(np.unique(np.append(key, 0)))
     shape = "id bigint, pos int, hash bigint"
@@ -186,5 +196,5 @@ def _leaked_block(spark, docs: DataFrame, mine: DataFrame, texts: dict[int, str]
         .agg(F.collect_list(F.struct("item_id", "diagonal")).alias("candidates"))
     )
     return docs.join(candidates, "doc_id").mapInPandas(
-        _verify(spark.sparkContext.broadcast(texts)), "doc_id bigint, item_id bigint, n_words int"
+        _verify(spark.sparkContext.broadcast(texts), common), "doc_id bigint, item_id bigint, n_words int"
     )

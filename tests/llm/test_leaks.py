@@ -64,3 +64,13 @@ def test_empty_wide_and_long(spark, empty_and_wide):
     assert L.leaked(empty, held).count() == 0
     assert L.leaked(docs, held.limit(0)).count() == 0
     assert [(r.doc_id, r.item_id, r.n_words) for r in L.leaked(wide, empty_and_wide(held)[1]).collect()] == [(1, 5, len(W))]
+
+
+def test_item_under_many_ids_with_one_changed_word(spark):
+    # runs of eleven and twelve words: too short for a third of the item without the change between them
+    item = " ".join(words(ITEM) + [f"more{i}" for i in range(30)])
+    part = words(ITEM)[:11] + ["former"] + words(ITEM)[12:24]
+    other = [f"other text number{i} of its own" for i in range(3)]
+    want = {(0, 100 + i) for i in range(10)}
+    assert found(spark, [" ".join(part)], [item] * 10 + other) == want
+    assert found(spark, [" ".join(part)], [item] * 5 + [item.upper()] * 5 + other, block_items=2) == want

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,35 +77,24 @@ def _weight(seed: int, draw: Column, key: Column) -> Column:
     return sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
 
 
-def bootstrap(values: DataFrame, key: str, value: str, resamples: int = 100, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """(n, estimate, low, high): percentile interval of the mean over resamples drawn by hash.
+def bootstrap(values: DataFrame, key: str, value: str, resamples: int = 100, seed: int = 0, level: float = 0.95, by: str | None = None) -> DataFrame:
+    """(n, estimate, low, high): percentile interval of the mean over resamples drawn by hash; with ``by`` first, one row for each of its values.
 
     Weights replace positions, so that a resample needs no join and no order: every row meets all draws where
-    it lies, and one partial sum per draw and task is shuffled.
+    it lies, and one partial sum per group, draw and task is shuffled. A group without values has no interval and,
+    with ``by``, no row; rows with a null ``by`` are a group. A draw that takes no value has no mean and is left out.
     """
+    group = [] if by is None else [by]
     draws = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    rows = values.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).alias("v"), draws.alias("draw"))
-    weighted = rows.select("draw", "v", _weight(seed, F.col("draw"), F.col("k")).alias("w"))
+    known = values.where(F.col(value).isNotNull())
+    rows = known.select(*group, F.col(key).cast("string").alias("k"), F.col(value).alias("v"), draws.alias("draw"))
+    weighted = rows.select(*group, "draw", "v", _weight(seed, F.col("draw"), F.col("k")).alias("w"))
     whole = F.round(F.col("v") * F.lit(UNIT)).cast("bigint")
-    means = weighted.groupBy("draw").agg((F.sum(whole * F.col("w")) / F.lit(UNIT) / F.sum("w")).alias("m"))
+    means = weighted.groupBy(*group, "draw").agg((F.sum(whole * F.col("w")) / F.lit(UNIT) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     tail = (1 - level) / 2
-    bounds = means.agg(F.round(F.percentile("m", F.lit(tail)), 9).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 9).alias("high"))
-    estimate = values.agg(F.count(value).alias("n"), F.round(F.avg(value), 9).alias("estimate"))
-    return estimate.crossJoin(bounds)
-
-
-def bootstrap_exact(values: DataFrame, value: str, by: str, resamples: int = 1000, seed: int = 0, level: float = 0.95, limit: int = 100_000) -> DataFrame:
-    """(by, n, estimate, low, high) with the standard library's generator, one group of at most ``limit`` values a task."""
-    tail = (1 - level) / 2
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        v = sorted(rows[value].dropna().tolist())
-        if len(v) > limit:
-            raise ValueError(f"{len(v)} values in a group; use the hash bootstrap beyond {limit}")
-        if not v:
-            return pd.DataFrame({by: [], "n": [], "estimate": [], "low": [], "high": []})
-        draw = random.Random(seed)
-        means = pd.Series([sum(v[draw.randrange(len(v))] for _ in v) / len(v) for _ in range(resamples)])
-        return pd.DataFrame({by: [rows[by].iloc[0]], "n": [len(v)], "estimate": [sum(v) / len(v)], "low": [means.quantile(tail)], "high": [means.quantile(1 - tail)]})
-
-    return values.groupBy(by).applyInPandas(one, f"{by} string, n long, estimate double, low double, high double")
+    bounds = means.groupBy(*group).agg(F.round(F.percentile("m", F.lit(tail)), 9).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 9).alias("high"))
+    if by is None:
+        return values.agg(F.count(value).alias("n"), F.round(F.avg(value), 9).alias("estimate")).crossJoin(bounds)
+    estimate = known.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 9).alias("estimate"))
+    same = estimate[by].eqNullSafe(bounds[by])
+    return estimate.join(bounds, same).select(estimate[by], "n", "estimate", "low", "high")

@@ -350,9 +350,10 @@ def paired_bootstrap_hash(spark, d):
     return stats.bootstrap(_diffs(spark, d), "example_id", "diff", 100, 5)
 
 
-def bootstrap_exact(spark, d):
+def bootstrap_by_level(spark, d):
     rows = _scored(spark, d).join(_gold(spark, d).select("example_id", "level"), "example_id")
-    return stats.bootstrap_exact(rows.select(F.coalesce("level", F.lit("unknown")).alias("level"), "f1"), "f1", "level", 200, 11)
+    drawn = rows.select(F.coalesce("level", F.lit("unknown")).alias("level"), F.concat_ws("|", "run_name", "example_id").alias("k"), "f1")
+    return stats.bootstrap(drawn, "k", "f1", 200, 11, by="level")
 
 
 def reader_summary(spark, d):
@@ -435,7 +436,7 @@ NAMES = (
     "answer_norm answer_f1 answer_macro evaluate_examples evaluate_macro hash_slice two_phase_slice systematic_sample distractors append_distractors "
     "gold_semi_join anti_join_pool fact_sentence_join ref_range_issues record_violations ranking_violations metric_compare_tol ranking_equivalence "
     "run_compare cross_input_duplicates positional_compare prompt_sha256 shard_ledger shard_contiguity dense_topk l2_normalise_mrl norm_error_check "
-    "cohens_dz quantile_p50_p95 reader_summary signflip_exact signflip_sampled bootstrap_hash paired_bootstrap_hash bootstrap_exact final_answer_parse "
+    "cohens_dz quantile_p50_p95 reader_summary signflip_exact signflip_sampled bootstrap_hash paired_bootstrap_hash bootstrap_by_level final_answer_parse "
     "reasoning_detect boxed_parse serialize_context budget_truncation example_seed compute_projection unicode_title stream_term_counts"
 ).split()
 

@@ -87,6 +87,23 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert a.low <= a.estimate <= a.high
 
 
+def test_bootstrap_by_group_equals_each_group_alone(spark):
+    rows = spark.range(400).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, "big").when(F.col("id") % 2 > 0, "small").alias("g"), (F.col("id") % 13 / 13).alias("v"))
+    got = {r.g: tuple(r)[1:] for r in stats.bootstrap(rows, "k", "v", 50, 1, by="g").collect()}
+    alone = {g: tuple(stats.bootstrap(rows.where(F.col("g").eqNullSafe(F.lit(g))), "k", "v", 50, 1).first()) for g in ("big", "small", None)}
+    assert got == alone
+
+
+def test_bootstrap_by_group_has_no_row_cap(spark):
+    rows = spark.range(100_001).select("id", F.lit("all").alias("g"), (F.col("id") % 2).cast("double").alias("v"))
+    (r,) = stats.bootstrap(rows, "id", "v", 4, 1, by="g").collect()
+    assert r.n == 100_001 and r.low <= r.high and abs(r.estimate - 0.5) < 0.01
+
+
+def test_bootstrap_of_a_single_value(spark):
+    assert tuple(stats.bootstrap(diffs(spark, [3]), "k", "diff", 50, 1).first()) == (1, 3.0, 3.0, 3.0)
+
+
 def test_systematic_positions(spark):
     numbered = sampling.ordinals(spark.range(1, 101).repartition(5), "id")
     assert sorted(r.rowid for r in sampling.systematic(numbered, 8).collect()) == [1, 13, 26, 38, 51, 63, 76, 88]

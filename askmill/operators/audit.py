@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askmill.operators.sampling import ordinals
+from askmill.tables import cut
+
 
 def record_violations(records: DataFrame) -> DataFrame:
     """(example_id, rule): broken constraints of evaluation records."""
@@ -55,8 +58,10 @@ def ranking_violations(lists: DataFrame) -> DataFrame:
 
 def contiguity_issues(ledger: DataFrame) -> DataFrame:
     """Shards whose range does not go on from the one before or does not hold its number of documents."""
-    order = Window.orderBy("shard_index")  # one row for each shard
-    checked = ledger.withColumn("expected", F.lag("end_rowid", 1, 0).over(order) + 1)
+    # by place and not by index: the one before a missing shard is the last that is there
+    numbered = cut(ordinals(ledger, "shard_index", "_place"))
+    before = numbered.select((F.col("_place") + 1).alias("_place"), F.col("end_rowid").alias("_end"))
+    checked = numbered.join(before, "_place", "left").withColumn("expected", F.coalesce("_end", F.lit(0)) + 1).select(*ledger.columns, "expected")
     return checked.where((F.col("start_rowid") != F.col("expected")) | (F.col("end_rowid") - F.col("start_rowid") + 1 != F.col("document_count")))
 
 

@@ -202,3 +202,11 @@ def test_shards_resume(spark, tmp_path):
     assert [tuple(r) for r in ledger.orderBy("shard_index").collect()] == [(0, 1, 4, 4), (1, 5, 8, 4), (2, 9, 10, 2)]
     assert audit.contiguity_issues(ledger).count() == 0
     assert spark.read.parquet(str(tmp_path / "s" / "vectors")).where("v = 1").count() == 8
+
+
+def test_shard_issues_without_a_global_window(spark, capsys):
+    rows = [(0, 1, 4, 4), (1, 5, 8, 4), (3, 13, 16, 4), (4, 17, 19, 4), (5, 20, 23, 4)]
+    got = audit.contiguity_issues(spark.createDataFrame(rows, "shard_index long, start_rowid long, end_rowid long, document_count long"))
+    assert sorted(map(tuple, got.collect())) == [(3, 13, 16, 4, 9), (4, 17, 19, 4, 17)]
+    got.explain()
+    assert "Window" not in capsys.readouterr().out

@@ -1,15 +1,24 @@
 """Records of evaluation splits that stand, the same or nearly the same, in the training split too.
 
-Two wordings of one question may differ by small words, slips of typing and a lead-in on one side. So on the
-other side every word that is not small has the same word, or one a slip away, across. Each text is looked up
-under the rarest of its words and that word's slips, and the texts found are verified word by word. Nothing
-is cut off: every pair that passes the verification is among the candidates.
+A suffix array over the texts of all records: one suffix for each word that is not small, going on over the
+end of its text with the beginning, so that two things named in the other order still lie in one suffix.
+Suffixes are brought together by their first word and sorted; suffixes next to each other share a span as
+long as their common prefix, and what the suffixes of two texts share is their coverage. Texts that
+cover each other but for slips and a lead-in are compared word by word.
+
+Not a window of neighbours is read but whole intervals of the array, and enough of them that no pair is lost:
+two wordings of one question may differ by small words, slips of typing and a lead-in on one side, so of any
+three words that are not small and stand in the text without the lead-in, one stands in the other, too. Where the
+third rarest word of a text is frequent, its rarest word alone is followed, in the intervals of this word and of
+those a slip away from it. What is read of the array grows with the texts that share rare words.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +31,12 @@ from askmill.tables import cut
 #: Slips of typing that two wordings of one question may differ by, and words of a lead-in.
 SLIPS = 2
 LEAD = 4
+#: Suffixes by which a text is looked up unless its third rarest word stands in more than ``RARE`` of them.
+RARE = 64
+#: Words of a suffix that are kept for sorting and coverage; texts that go on behind them are compared whole.
+SUFFIX = 32
+#: Suffixes of one interval that one task holds; larger intervals are split.
+INTERVAL = 4096
 #: Words up to this length are looked up with one letter left out, longer ones by their halves.
 SHORT = 24
 #: Small words that may be added or dropped (fixed values; English, German, French, Spanish).
@@ -40,8 +55,10 @@ def wording(text: pd.Series) -> pd.Series:
 
 
 def texts_of(records: DataFrame) -> DataFrame:
-    """The different wordings of ``records(wording)`` as (tid, wording)."""
-    return records.select(F.md5("wording").alias("tid"), "wording").distinct()
+    """The different wordings of ``records(wording)`` as (tid, wording, c), where c are the words that are not small."""
+    content = F.filter(F.split("wording", " "), lambda w: ~w.isin(sorted(SMALL)))
+    texts = records.select("wording").distinct().select(F.monotonically_increasing_id().alias("tid"), "wording", content.alias("c"))
+    return cut(texts.where(F.size("c") > 0))  # numbers hold from here on
 
 
 def _slip_keys(w: Column) -> Column:
@@ -69,48 +86,135 @@ def _slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x.isalpha() and y.isalpha() and slip(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def near_words(vocabulary: DataFrame) -> DataFrame:
-    """(w, near): different words of ``vocabulary(w)`` that ``same_question`` takes for slips of each other, both ways round."""
-    keys = vocabulary.where((F.length("w") > 2) & ~F.col("w").rlike("[0-9]")).select("w", F.explode(_slip_keys(F.col("w"))).alias("key"))
-    pairs = keys.join(keys.withColumnRenamed("w", "near"), "key").where("w < near").select("w", "near").distinct()
-    pairs = cut(pairs.where(_slips("w", "near")))
-    return pairs.unionByName(pairs.select(F.col("near").alias("w"), F.col("w").alias("near")))
+def near_words(chosen: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(w, near): words of ``vocabulary(w)`` that ``same_question`` takes for slips of a word of ``chosen(w)``."""
+    def keys(df):
+        long_enough = df.where((F.length("w") > 2) & ~F.col("w").rlike("[0-9]"))
+        return long_enough.select("w", F.explode(_slip_keys(F.col("w"))).alias("key"))
 
+    pairs = keys(chosen).join(keys(vocabulary).withColumnRenamed("w", "near"), "key").where("w != near").select("w", "near").distinct()
+    return pairs.where(_slips("w", "near"))
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of ``texts(tid, wording)``, among them every pair of ``same_question``.
 
-    Of two such wordings one, the side without a lead-in, has a counterpart for each of its words but small
-    ones. It is looked up under the one whose counterparts stand in the fewest texts; wordings of small words only are
-    compared with those that are short enough to be a lead-in. The work grows with the texts that share their
-    rarest word: with the square of those that hold nothing but frequent words.
+def looked_up(placed: DataFrame) -> DataFrame:
+    """(tid, w, first, n): the suffixes at which each text is looked up, by their first word, and the size of the interval.
+
+    ``placed(tid, w)``: the words of each text that are not small. ``first`` is ``w`` or a word a slip away from it.
+    Intervals of one suffix are left out.
     """
-    small = sorted(SMALL)
-    split = F.split("wording", " ")
-    own = F.size(F.filter(split, lambda w: ~w.isin(small))).alias("own")
-    placed = texts.select("tid", own, F.explode(F.array_distinct(split)).alias("w"))
     vocabulary = cut(placed.groupBy("w").agg(F.count("*").alias("n")))
-    near = near_words(vocabulary)
-    more = near.join(vocabulary.withColumnRenamed("w", "near"), "near").groupBy("w").agg(F.sum("n").alias("more"))
-    cost = vocabulary.join(more, "w", "left").select("w", (F.col("n") + F.coalesce("more", F.lit(0))).alias("cost"))
-    rarest = cut(
-        placed.where(~F.col("w").isin(small))
-        .join(cost, "w")
-        .groupBy("tid", "own")
-        .agg(F.min(F.struct("cost", "w")).alias("least"))
-        .select("tid", "own", F.col("least.w").alias("w"))
+    rarest = placed.join(vocabulary, "w").groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("n", "w"))).alias("r"))
+    rarest = cut(rarest.select("tid", F.slice("r", 1, SLIPS + 1).alias("r")))
+    enough = F.coalesce(F.get("r", F.lit(SLIPS)).n <= RARE, F.lit(False))
+    by_three = rarest.where(enough).select("tid", F.inline("r"))
+    one = rarest.where(~enough).select("tid", F.get("r", F.lit(0)).alias("o")).select("tid", "o.*")
+    near = near_words(one.select("w").distinct(), vocabulary.select("w")).join(vocabulary.withColumnRenamed("w", "near"), "near")
+    own = by_three.unionByName(one).where("n > 1").select("tid", "w", F.col("w").alias("first"), "n")
+    return own.unionByName(one.select("tid", "w").join(near, "w").select("tid", "w", F.col("near").alias("first"), "n"))
+
+
+def suffixes(texts: DataFrame) -> DataFrame:
+    """(first, part, suffix, tid, own, marks, asks): the suffixes of ``texts(tid, c)`` in the intervals that are read.
+
+    A suffix is kept as the hashes of its words and goes on with the beginning of its text; ``own`` is the number of the
+    text's words and ``marks`` has a bit for each of them. An interval of more than ``INTERVAL`` suffixes is split in blocks of
+    suffixes that ask and blocks of those that are there; each pair of blocks is a part.
+    """
+    placed = texts.select("tid", F.explode(F.array_distinct("c")).alias("w"))
+    asked = cut(looked_up(placed))
+    wanted = asked.groupBy("first").agg(F.ceil(F.greatest(F.max("n"), F.count("*")) / INTERVAL).cast("int").alias("parts"))
+    there = placed.join(wanted.withColumnRenamed("first", "w"), "w").select("tid", "w", F.col("w").alias("first"), "parts", F.lit(False).alias("asks"))
+    asking = asked.join(wanted, "first").select("tid", "w", "first", "parts", F.lit(True).alias("asks"))
+    places = there.unionByName(asking).groupBy("tid", "w", "first", "parts").agg(F.max("asks").alias("asks"))
+    places = places.groupBy("tid").agg(F.collect_list(F.struct("w", "first", "parts", "asks")).alias("places"))
+
+    h = F.transform("c", lambda w: F.hash(w))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)))
+    marks = F.aggregate("h", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    rows = texts.join(places, "tid").select("tid", "c", "places", h.alias("h"))
+    rows = rows.select("tid", "c", "h", marks.alias("marks"), F.explode("places").alias("p")).select("tid", "c", "h", "marks", "p.*")
+    ahead = F.slice("h", F.array_position("c", F.col("w")).cast("int"), SUFFIX)
+    around = F.slice(F.concat(ahead, F.slice("h", F.lit(1), F.array_position("c", F.col("w")).cast("int") - 1)), 1, SUFFIX)
+    block = F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")
+    each = F.sequence(F.lit(0), F.col("parts") - 1)
+    as_there = F.transform(each, lambda k: F.struct(k.alias("ask"), block.alias("at")))
+    as_asking = F.transform(each, lambda k: F.struct(block.alias("ask"), k.alias("at")))
+    cells = F.when(F.col("asks"), F.array_distinct(F.concat(as_there, as_asking))).otherwise(as_there)
+    rows = rows.select(
+        "tid", F.xxhash64("first").alias("first"), around.alias("suffix"), F.size("c").alias("own"), "marks", "asks", block.alias("block"), F.explode(cells).alias("cell")
     )
-    lookup = rarest.unionByName(rarest.join(near, "w").select("tid", "own", F.col("near").alias("w")))
-    wordings = texts.select("tid", own, F.lit("").alias("w"))
-    lookup = lookup.unionByName(wordings.where("own = 0"))
-    found = placed.unionByName(wordings.where(F.col("own") <= SLIPS + LEAD))
-    pairs = lookup.toDF("s", "own_s", "w").join(found.toDF("t", "own_t", "w"), "w")
-    fits = F.col("own_t").between(F.col("own_s") - SLIPS, F.col("own_s") + SLIPS + LEAD)
-    return pairs.where((F.col("s") != F.col("t")) & fits).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    return rows.select(
+        "first", (F.col("cell.ask").cast("bigint") * (1 << 31) + F.col("cell.at")).alias("part"), "suffix", "tid", "own", "marks",
+        (F.col("asks") & (F.col("cell.ask") == F.col("block"))).alias("asks"),
+    )
+
+
+def _common_prefix(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _covers(a: np.ndarray, b: np.ndarray, span: int) -> bool:
+    """True unless the words of two suffixes that lie outside of what they share are too many: on one side at
+    most ``SLIPS``, on the other a lead-in more. The first ``span`` words of both are the same."""
+    left, right = Counter(a[span:].tolist()), Counter(b[span:].tolist())
+    over_a, over_b = (left - right).total(), (right - left).total()
+    return min(over_a, over_b) <= SLIPS and max(over_a, over_b) <= SLIPS + LEAD
+
+
+def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted suffixes, in batches, as one frame for each interval (same first word and part)."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        key = rows[["first", "part"]].to_numpy()
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(rows) else np.zeros(0, int)
+        for s, e in zip(starts[:-1], starts[1:]):
+            if e - s > 1:
+                yield rows.iloc[s:e]
+        rest = rows.iloc[starts[-1] :] if len(starts) else None
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def _read_intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in _intervals(batches):
+        tid, own, suffix = rows["tid"].to_numpy(), rows["own"].to_numpy(), rows["suffix"].to_numpy()
+        marks, asks = rows["marks"].to_numpy().astype(np.uint64), rows["asks"].to_numpy()
+        # neighbours of the same words are chained: what they have in common lies next to each other
+        prefix = [0] + [_common_prefix(a, b) for a, b in zip(suffix[:-1], suffix[1:])]
+        run = np.cumsum([p < len(s) or len(s) != len(r) for p, s, r in zip(prefix, suffix, [suffix[0], *suffix[:-1]])])
+        chained = [i for i in range(1, len(tid)) if run[i] == run[i - 1] and own[i] <= SUFFIX]
+        a, b = [tid[i - 1] for i in chained], [tid[i] for i in chained]
+        for i in np.flatnonzero(asks):
+            other = run != run[i]
+            other |= own[i] > SUFFIX
+            other[i] = False
+            over = np.bitwise_count(marks[i] & ~marks), np.bitwise_count(marks & ~marks[i])
+            other &= (np.minimum(*over) <= SLIPS) & (np.maximum(*over) <= SLIPS + LEAD)
+            other &= (np.abs(own - own[i]) <= SLIPS + LEAD) & (tid != tid[i])
+            for j in np.flatnonzero(other):
+                if max(own[i], own[j]) > SUFFIX or _covers(suffix[i], suffix[j], _common_prefix(suffix[i], suffix[j])):
+                    a.append(tid[i])
+                    b.append(tid[j])
+        yield pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of ``texts(tid, c)`` that cover each other but for slips and a lead-in, among them every
+    pair of ``same_question``; of texts of the same words in the same order, those next to each other."""
+    sorted_ = suffixes(texts).repartition("first", "part").sortWithinPartitions("first", "part", "suffix", "tid")
+    return sorted_.mapInPandas(_read_intervals, "a bigint, b bigint").distinct()
 
 
 def same_question(a: list[str], b: list[str]) -> bool:
-    """True if two wordings differ by small words, a lead-in, slips of typing or the order of words only."""
+    """True if two wordings differ by small words, a lead-in, slips of typing or the order of words only.
+
+    A wording of small words only is the same as itself and no other.
+    """
+    if SMALL.issuperset(a) or SMALL.issuperset(b):
+        return a == b
     ca, cb = Counter(a), Counter(b)
     ra, rb = list((ca - cb).elements()), list((cb - ca).elements())
     slips = 0
@@ -142,34 +246,20 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_question(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _alike_enough(a: Column, b: Column) -> Column:
-    """A bound that every pair of ``same_question`` keeps to: but for small words, one side holds at most as many
-    words of its own as slips are let pass, and the other at most a lead-in more."""
-    small = F.split(F.lit(" ".join(sorted(SMALL))), " ")
-    own_a = F.size(F.array_except(F.array_except(a, b), small))
-    own_b = F.size(F.array_except(F.array_except(b, a), small))
-    return (F.least(own_a, own_b) <= SLIPS) & (F.greatest(own_a, own_b) <= SLIPS + LEAD)
-
-
-def same_texts(texts: DataFrame) -> DataFrame:
-    """(tid, question): texts that put one question in different wordings, with the name they share.
+def same_texts(records: DataFrame) -> DataFrame:
+    """(wording, question): wordings of ``records(wording)`` that put one question in different words, with the name they share.
 
     Links between wordings of any splits are closed transitively.
     """
-    texts = cut(texts)
+    texts = texts_of(records)
     side = texts.select("tid", "wording")
-    verified = (
-        candidates(side)
-        .join(side.toDF("a", "wa"), "a")
-        .join(side.toDF("b", "wb"), "b")
-        .where(_alike_enough(F.split("wa", " "), F.split("wb", " ")))
-        .where(_same("wa", "wb"))
-    )
-    return components(verified.select("a", "b")).toDF("tid", "question")
+    verified = candidates(texts).join(side.toDF("a", "wa"), "a").join(side.toDF("b", "wb"), "b").where(_same("wa", "wb"))
+    named = components(verified.select("a", "b")).toDF("tid", "question")
+    return side.join(named, "tid").select("wording", F.col("question").cast("string").alias("question"))
 
 
 def keyed(examples: DataFrame) -> DataFrame:
-    """Records with a wording: (record_id, wording, tid, held, answer_form, split_name, source)."""
+    """Records with a wording: (record_id, wording, held, answer_form, split_name, source)."""
     return (
         examples.where("record_id IS NOT NULL AND question IS NOT NULL AND split_name IN ('train', 'validation', 'test')")
         .select(
@@ -181,10 +271,15 @@ def keyed(examples: DataFrame) -> DataFrame:
             "source",
         )
         .where("wording IS NOT NULL")
-        .withColumn("tid", F.md5("wording"))
     )
 
 
+def named_records(examples: DataFrame) -> DataFrame:
+    """The records of ``keyed`` with the name of their ``question``."""
+    records = cut(keyed(examples))
+    return records.join(same_texts(records), "wording", "left").withColumn("question", F.coalesce("question", F.md5("wording")))
+
+
 def overlaps(examples: DataFrame) -> DataFrame:
     """(record_id_a, record_id_b) of records of which one is in training, the other held out, and both put the
     same question, with answers that agree but for case, spacing and punctuation or are null on a side.
@@ -193,10 +288,9 @@ def overlaps(examples: DataFrame) -> DataFrame:
     a record of another or no split neither. The smaller id stands first; repeated rows change nothing; an
     empty table gives no rows.
     """
-    records = cut(keyed(examples))
-    named = records.join(same_texts(texts_of(records)), "tid", "left").withColumn("question", F.coalesce("question", "tid"))
-    train = named.where("NOT held").select("question", F.col("record_id").alias("t"), F.col("answer_form").alias("ta"))
-    held = named.where("held").select("question", F.col("record_id").alias("h"), F.col("answer_form").alias("ha"))
+    rows = named_records(examples)
+    train = rows.where("NOT held").select("question", F.col("record_id").alias("t"), F.col("answer_form").alias("ta"))
+    held = rows.where("held").select("question", F.col("record_id").alias("h"), F.col("answer_form").alias("ha"))
     return (
         train.join(held, "question")
         .where("ta IS NULL OR ha IS NULL OR ta = ha")
@@ -206,12 +300,18 @@ def overlaps(examples: DataFrame) -> DataFrame:
 
 
 def overlap_report(examples: DataFrame) -> DataFrame:
-    """Per held-out split and source: its records, and those that training holds as well."""
-    pairs = overlaps(examples)
-    both = pairs.select(F.explode(F.array("record_id_a", "record_id_b")).alias("record_id")).distinct().withColumn("hit", F.lit(1))
-    held = examples.where("split_name IN ('validation', 'test')").select("record_id", "split_name", "source").distinct()
+    """(split_name, source, n_records, n_overlapping): per held-out split and source its records, and those that training
+    holds as well. No pair is made: an answer is looked up among the different answers that training gives to the question."""
+    rows = named_records(examples)
+    train = rows.where("NOT held").select("question", F.col("answer_form").alias("ta")).distinct()
+    any_ = train.groupBy("question").agg(F.max(F.col("ta").isNull()).alias("open"))
+    held = rows.where("held").select("record_id", "question", F.col("answer_form").alias("ta"))
+    known = train.where("ta IS NOT NULL").withColumn("same", F.lit(True))
+    hit = held.join(any_, "question").join(known, ["question", "ta"], "left").where("ta IS NULL OR open OR same")
+    hit = hit.select("record_id").distinct().withColumn("hit", F.lit(1))
+    asked = examples.where("split_name IN ('validation', 'test')").select("record_id", "split_name", "source").distinct()
     return (
-        held.join(both, "record_id", "left")
+        asked.join(hit, "record_id", "left")
         .groupBy("split_name", "source")
         .agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"))
     )

@@ -99,18 +99,56 @@ def test_wordings_of_one_split_chain(spark):
     assert found(spark, [(steps[0], "A", "test"), (steps[1], "A", "train"), (steps[2], "A", "train")]) == {(0, 1), (0, 2)}
 
 
-def test_candidates_hold_every_pair(spark):
+def drawn_texts():
     draw = random.Random(7)
     vocabulary = ["the", "of", "in", "who", "town", "twon", "towns", "river", "rivre", "1685", "1686", "thee", "aa", "ab", "x" * 40, "x" * 39 + "y", "x" * 39]
-    texts = sorted({" ".join(draw.choices(vocabulary, k=draw.randint(1, 7))) for _ in range(400)})
-    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "tid string, wording string")
-    got = {(r.a, r.b) for r in O.candidates(df).collect()}
-    split = [t.split() for t in texts]
-    want = {(f"{i:03d}", f"{j:03d}") for j in range(len(texts)) for i in range(j) if O.same_question(split[i], split[j]) or O.same_question(split[j], split[i])}
-    assert want and want <= got
+    return sorted({" ".join(draw.choices(vocabulary, k=draw.randint(1, 7))) for _ in range(400)})
+
+
+@pytest.mark.parametrize(("interval", "rare"), [(4096, 64), (7, 64), (7, 0), (40, 100_000)])
+def test_links_hold_every_pair(spark, monkeypatch, interval, rare):
+    monkeypatch.setattr(O, "INTERVAL", interval)
+    monkeypatch.setattr(O, "RARE", rare)
+    texts = drawn_texts()
+    got = {r.wording: r.question for r in O.same_texts(spark.createDataFrame([(t,) for t in texts], "wording string")).collect()}
+    label = {t: t for t in texts}
+    for a in texts:
+        for b in texts:
+            if label[a] != label[b] and O.same_question(a.split(), b.split()):
+                old, new = label[a], label[b]
+                label = {t: new if v == old else v for t, v in label.items()}
+    groups = {}
+    for t, v in label.items():
+        groups.setdefault(v, set()).add(t)
+    found = {}
+    for t, v in got.items():
+        found.setdefault(v, set()).add(t)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_name_with_swapped_letters_in_a_crowd_of_one_template(spark):
+    draw = random.Random(11)
+    names = list({"".join(draw.choice("bdfgklmnprst") + draw.choice("aeiou") for _ in range(4)) for _ in range(3000)})
+    items = [(f"In which town is the lake {n.title()} located?", "A", "train") for n in names]
+    twins = [n for n in names if n[0] != n[1]][:40]
+    items += [(f"In which town is the lake {(n[1] + n[0] + n[2:]).title()} located?", "A", "test") for n in twins]
+    assert {(names.index(n), len(names) + i) for i, n in enumerate(twins)} <= found(spark, items)
+
+
+def test_small_words_only(spark):
+    assert found(spark, [("of the", "A", "train"), ("of the", "A", "test"), ("the of", "A", "test"), ("who of the", "A", "test")]) == {(0, 1)}
 
 
 def test_long_texts_with_one_letter_changed(spark):
     draw = random.Random(3)
     long = " ".join("".join(draw.choices("abcdefghij", k=7)) for _ in range(600))
     assert found(spark, [(long, "A", "train"), (long[:2400] + "z" + long[2401:], "A", "test")]) == {(0, 1)}
+
+
+@pytest.mark.parametrize("size", [850, 1200, 2800, 5500])
+def test_texts_of_some_length_with_a_slip(spark, size):
+    draw = random.Random(size)
+    long = " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(size // 7))
+    other = " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(size // 7))
+    items = [(long, "A", "train"), ("z" + long, None, "test"), (other, "A", "train"), (other[: size // 2] + other[: size // 2], "A", "test")]
+    assert found(spark, items) == {(0, 1)}

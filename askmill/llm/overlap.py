@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,8 @@ from askmill.tables import cut
 #: Slips of typing that two wordings of one question may differ by, and words of a lead-in.
 SLIPS = 2
 LEAD = 4
-#: Suffixes by which a text is looked up unless its third rarest word stands in more than ``RARE`` of them.
-RARE = 64
+#: A text whose third rarest word stands in no more suffixes than these is looked up by its three rarest words, without weighing.
+RARE = 256
 #: Words of a suffix that are kept for sorting and coverage; texts that go on behind them are compared whole.
 SUFFIX = 32
 #: Suffixes of one interval that one task holds; larger intervals are split.
@@ -100,16 +101,24 @@ def looked_up(placed: DataFrame) -> DataFrame:
     """(tid, w, first, n): the suffixes at which each text is looked up, by their first word, and the size of the interval.
 
     ``placed(tid, w)``: the words of each text that are not small. ``first`` is ``w`` or a word a slip away from it.
+    Of the three rarest words and any of them with its slips a text takes what stands in the fewest suffixes.
     Intervals of one suffix are left out.
     """
     vocabulary = cut(placed.groupBy("w").agg(F.count("*").alias("n")))
     rarest = placed.join(vocabulary, "w").groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("n", "w"))).alias("r"))
     rarest = cut(rarest.select("tid", F.slice("r", 1, SLIPS + 1).alias("r")))
     enough = F.coalesce(F.get("r", F.lit(SLIPS)).n <= RARE, F.lit(False))
-    by_three = rarest.where(enough).select("tid", F.inline("r"))
-    one = rarest.where(~enough).select("tid", F.get("r", F.lit(0)).alias("o")).select("tid", "o.*")
-    near = near_words(one.select("w").distinct(), vocabulary.select("w")).join(vocabulary.withColumnRenamed("w", "near"), "near")
-    own = by_three.unionByName(one).where("n > 1").select("tid", "w", F.col("w").alias("first"), "n")
+    unsure = rarest.where(~enough).select("tid", "r", F.aggregate("r", F.lit(0).cast("bigint"), lambda total, x: total + x.n).alias("all"), F.explode("r").alias("o"))
+    unsure = unsure.select("tid", "r", F.when(F.size("r") > SLIPS, F.col("all")).alias("all"), "o.w", "o.n")
+    near = cut(near_words(unsure.select("w").distinct(), vocabulary.select("w")).join(vocabulary.withColumnRenamed("w", "near"), "near"))
+    more = near.groupBy("w").agg(F.sum("n").alias("more"))
+    costs = unsure.join(more, "w", "left").withColumn("cost", F.col("n") + F.coalesce("more", F.lit(0)))
+    chosen = costs.groupBy("tid").agg(F.min_by(F.struct("w", "n", "cost"), F.struct("cost", "w")).alias("o"), F.first("r").alias("r"), F.first("all").alias("all"))
+    by_all = F.coalesce(F.col("all") <= F.col("o.cost"), F.lit(False))
+    chosen = cut(chosen.withColumn("by_all", by_all))
+    three = rarest.where(enough).select("tid", "r").unionByName(chosen.where("by_all").select("tid", "r")).select("tid", F.inline("r"))
+    one = chosen.where("NOT by_all").select("tid", "o.w", "o.n")
+    own = three.unionByName(one.select("tid", "n", "w")).where("n > 1").select("tid", "w", F.col("w").alias("first"), "n")
     return own.unionByName(one.select("tid", "w").join(near, "w").select("tid", "w", F.col("near").alias("first"), "n"))
 
 
@@ -117,16 +126,17 @@ def suffixes(texts: DataFrame) -> DataFrame:
     """(first, part, suffix, tid, own, marks, asks): the suffixes of ``texts(tid, c)`` in the intervals that are read.
 
     A suffix is kept as the hashes of its words and goes on with the beginning of its text; ``own`` is the number of the
-    text's words and ``marks`` has a bit for each of them. An interval of more than ``INTERVAL`` suffixes is split in blocks of
-    suffixes that ask and blocks of those that are there; each pair of blocks is a part.
+    text's words and ``marks`` has a bit for each of them. Large intervals are split in blocks of at most ``INTERVAL`` suffixes
+    that ask and blocks of those that are there; each pair of blocks is a part.
     """
     placed = texts.select("tid", F.explode(F.array_distinct("c")).alias("w"))
     asked = cut(looked_up(placed))
-    wanted = asked.groupBy("first").agg(F.ceil(F.greatest(F.max("n"), F.count("*")) / INTERVAL).cast("int").alias("parts"))
-    there = placed.join(wanted.withColumnRenamed("first", "w"), "w").select("tid", "w", F.col("w").alias("first"), "parts", F.lit(False).alias("asks"))
-    asking = asked.join(wanted, "first").select("tid", "w", "first", "parts", F.lit(True).alias("asks"))
-    places = there.unionByName(asking).groupBy("tid", "w", "first", "parts").agg(F.max("asks").alias("asks"))
-    places = places.groupBy("tid").agg(F.collect_list(F.struct("w", "first", "parts", "asks")).alias("places"))
+    blocks = [F.ceil(size / INTERVAL).cast("int").alias(name) for name, size in (("askers", F.count("*")), ("parts", F.max("n")))]
+    wanted = asked.groupBy("first").agg(*blocks)
+    there = placed.join(wanted.withColumnRenamed("first", "w"), "w").select("tid", "w", F.col("w").alias("first"), "askers", "parts", F.lit(False).alias("asks"))
+    asking = asked.join(wanted, "first").select("tid", "w", "first", "askers", "parts", F.lit(True).alias("asks"))
+    places = there.unionByName(asking).groupBy("tid", "w", "first", "askers", "parts").agg(F.max("asks").alias("asks"))
+    places = places.groupBy("tid").agg(F.collect_list(F.struct("w", "first", "askers", "parts", "asks")).alias("places"))
 
     h = F.transform("c", lambda w: F.hash(w))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)))
@@ -135,77 +145,85 @@ def suffixes(texts: DataFrame) -> DataFrame:
     rows = rows.select("tid", "c", "h", marks.alias("marks"), F.explode("places").alias("p")).select("tid", "c", "h", "marks", "p.*")
     ahead = F.slice("h", F.array_position("c", F.col("w")).cast("int"), SUFFIX)
     around = F.slice(F.concat(ahead, F.slice("h", F.lit(1), F.array_position("c", F.col("w")).cast("int") - 1)), 1, SUFFIX)
-    block = F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")
-    each = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_there = F.transform(each, lambda k: F.struct(k.alias("ask"), block.alias("at")))
-    as_asking = F.transform(each, lambda k: F.struct(block.alias("ask"), k.alias("at")))
+    ask, at = (F.pmod(F.xxhash64("tid"), F.col(c)).cast("int") for c in ("askers", "parts"))
+    as_there = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda k: F.struct(k.alias("ask"), at.alias("at")))
+    as_asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(ask.alias("ask"), k.alias("at")))
     cells = F.when(F.col("asks"), F.array_distinct(F.concat(as_there, as_asking))).otherwise(as_there)
-    rows = rows.select(
-        "tid", F.xxhash64("first").alias("first"), around.alias("suffix"), F.size("c").alias("own"), "marks", "asks", block.alias("block"), F.explode(cells).alias("cell")
-    )
+    rows = rows.select("tid", F.xxhash64("first").alias("first"), around.alias("suffix"), F.size("c").alias("own"), "marks", "asks", "c", ask.alias("mine"), F.explode(cells).alias("cell"))
     return rows.select(
         "first", (F.col("cell.ask").cast("bigint") * (1 << 31) + F.col("cell.at")).alias("part"), "suffix", "tid", "own", "marks",
-        (F.col("asks") & (F.col("cell.ask") == F.col("block"))).alias("asks"),
+        (F.col("asks") & (F.col("cell.ask") == F.col("mine"))).alias("asks"), F.xxhash64("suffix", F.size("c")).alias("run"),
     )
 
 
-def _common_prefix(a: np.ndarray, b: np.ndarray) -> int:
+def _covers(a: np.ndarray, b: np.ndarray) -> bool:
+    """True unless the words of two suffixes that lie outside of what they share are too many: on one side at
+    most ``SLIPS``, on the other a lead-in more."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
-
-
-def _covers(a: np.ndarray, b: np.ndarray, span: int) -> bool:
-    """True unless the words of two suffixes that lie outside of what they share are too many: on one side at
-    most ``SLIPS``, on the other a lead-in more. The first ``span`` words of both are the same."""
+    span = differ[0] if len(differ) else n  # the common prefix needs no counting
     left, right = Counter(a[span:].tolist()), Counter(b[span:].tolist())
     over_a, over_b = (left - right).total(), (right - left).total()
     return min(over_a, over_b) <= SLIPS and max(over_a, over_b) <= SLIPS + LEAD
 
 
-def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted suffixes, in batches, as one frame for each interval (same first word and part)."""
-    rest = None
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        key = rows[["first", "part"]].to_numpy()
-        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(rows) else np.zeros(0, int)
+def _covering(tid, own, marks, asks, run, suffix_of) -> tuple[list, list]:
+    """The pairs of one interval of sorted suffixes."""
+    whole = own <= SUFFIX
+    # neighbours of the same words are chained: all that they have in common lies next to each other
+    chained = np.flatnonzero((run[1:] == run[:-1]) & whole[1:])
+    a, b = [tid[chained]], [tid[chained + 1]]
+    askers = np.flatnonzero(asks)
+    step = max(1, (1 << 20) // len(tid))
+    for k in range(0, len(askers), step):
+        some = askers[k : k + step]
+        mine, theirs = marks[some, None], marks[None, :]
+        over, under = np.bitwise_count(mine & ~theirs), np.bitwise_count(theirs & ~mine)
+        fits = (np.minimum(over, under) <= SLIPS) & (np.maximum(over, under) <= SLIPS + LEAD)
+        fits &= (np.abs(own[some, None] - own[None, :]) <= SLIPS + LEAD) & (tid[some, None] != tid[None, :])
+        fits &= (run[some, None] != run[None, :]) | ~whole[some, None]
+        i, j = np.nonzero(fits)
+        i = some[i]
+        keep = [not (whole[x] and whole[y]) or _covers(suffix_of(x), suffix_of(y)) for x, y in zip(i, j, strict=True)]
+        a.append(tid[i[keep]])
+        b.append(tid[j[keep]])
+    return a, b
+
+
+def _read_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes to pairs; an interval that goes on in the next batch waits for it."""
+
+    def read(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        first, part, suffix, tid, own, marks, asks, run = (c.combine_chunks() if len(c.chunks) != 1 else c.chunk(0) for c in rows.columns)
+        tid, own, marks, run = (c.to_numpy(zero_copy_only=False) for c in (tid, own, marks, run))
+        marks, asks = marks.view(np.uint64), asks.to_numpy(zero_copy_only=False)
+        flat, at = suffix.values.to_numpy(), suffix.offsets.to_numpy()
+        a, b = [], []
         for s, e in zip(starts[:-1], starts[1:]):
             if e - s > 1:
-                yield rows.iloc[s:e]
-        rest = rows.iloc[starts[-1] :] if len(starts) else None
-    if rest is not None and len(rest) > 1:
-        yield rest
-
-
-def _read_intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in _intervals(batches):
-        tid, own, suffix = rows["tid"].to_numpy(), rows["own"].to_numpy(), rows["suffix"].to_numpy()
-        marks, asks = rows["marks"].to_numpy().astype(np.uint64), rows["asks"].to_numpy()
-        # neighbours of the same words are chained: what they have in common lies next to each other
-        prefix = [0] + [_common_prefix(a, b) for a, b in zip(suffix[:-1], suffix[1:])]
-        run = np.cumsum([p < len(s) or len(s) != len(r) for p, s, r in zip(prefix, suffix, [suffix[0], *suffix[:-1]])])
-        chained = [i for i in range(1, len(tid)) if run[i] == run[i - 1] and own[i] <= SUFFIX]
-        a, b = [tid[i - 1] for i in chained], [tid[i] for i in chained]
-        for i in np.flatnonzero(asks):
-            other = run != run[i]
-            other |= own[i] > SUFFIX
-            other[i] = False
-            over = np.bitwise_count(marks[i] & ~marks), np.bitwise_count(marks & ~marks[i])
-            other &= (np.minimum(*over) <= SLIPS) & (np.maximum(*over) <= SLIPS + LEAD)
-            other &= (np.abs(own - own[i]) <= SLIPS + LEAD) & (tid != tid[i])
-            for j in np.flatnonzero(other):
-                if max(own[i], own[j]) > SUFFIX or _covers(suffix[i], suffix[j], _common_prefix(suffix[i], suffix[j])):
-                    a.append(tid[i])
-                    b.append(tid[j])
-        yield pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+                got = _covering(tid[s:e], own[s:e], marks[s:e], asks[s:e], run[s:e], lambda k, s=s: flat[at[s + k] : at[s + k + 1]])
+                a += got[0]
+                b += got[1]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        key = np.stack([rows.column(k).to_numpy() for k in ("first", "part")], axis=1)
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.zeros(1, int)
+        if len(starts) > 1:
+            yield read(rows.slice(0, starts[-1]), starts)
+        rest = rows.slice(starts[-1])
+    if rest is not None and len(rest):
+        yield read(rest, np.array([0, len(rest)]))
 
 
 def candidates(texts: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of ``texts(tid, c)`` that cover each other but for slips and a lead-in, among them every
     pair of ``same_question``; of texts of the same words in the same order, those next to each other."""
     sorted_ = suffixes(texts).repartition("first", "part").sortWithinPartitions("first", "part", "suffix", "tid")
-    return sorted_.mapInPandas(_read_intervals, "a bigint, b bigint").distinct()
+    return sorted_.mapInArrow(_read_intervals, "a bigint, b bigint").distinct()
 
 
 def same_question(a: list[str], b: list[str]) -> bool:

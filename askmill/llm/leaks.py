@@ -8,6 +8,7 @@ and the overlap around it is verified word by word, where single changed or miss
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ LEAST_SHARE = 1 / 3
 #: Words that stand between two changed ones, and changed words in the words of a stretch, at most.
 CHANGE_GAP = 5
 CHANGE_SHARE = 1 / 7
-#: Held-out items that are broadcast at a time; more of them are searched for in blocks.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter that passes over seeds no item has: sixteen for each seed of the items, but no more than these (32 MB).
+FILTER_BITS = 1 << 28
 
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(8)], dtype=np.uint64)
 
@@ -63,24 +64,61 @@ def seeds(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _seed_rows(known):
-    """Arrow batches of (id, text) to (id, pos, hash); with ``known`` (sorted hashes), only those among them."""
+def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        row, pos, key = seeds([t.split(" ") for t in batch["wording"]])
+        yield pd.DataFrame({"item_id": batch["item_id"].to_numpy()[row], "item_pos": pos.astype(np.int32), "hash": key})
+
+
+def _filter_words(bits: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Seeds as (word, mask) of a filter of ``bits`` bits, those of a batch in the same word put together."""
+    for batch in batches:
+        at = batch["hash"].to_numpy().astype(np.uint64) & np.uint64(bits - 1)
+        word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+        mask = np.zeros(len(word), dtype=np.uint64)
+        np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
+        yield pd.DataFrame({"word": word.astype(np.int64), "mask": mask.astype(np.int64)})
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = known.value if known is not None else None
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                row, pos, key = seeds([words(t) for t in part.column(1).to_pylist()])
-                if wanted is not None and len(key):
-                    at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                    hit = wanted[at] == key
-                    row, pos, key = row[hit], pos[hit], key[hit]
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row], pa.int64()), pa.array(pos, pa.int32()), pa.array(key, pa.int64())], ["id", "pos", "hash"]
-                )
+def seed_filter(item_seeds: DataFrame, most_bits: int = FILTER_BITS):
+    """The broadcast filter of the hashes of ``item_seeds(hash)``: a bit is set for each hash, modulo its size.
 
-    return run
+    It is put together by the tasks, word by word; its size has a fixed bound, and the driver holds it and nothing else.
+    With more seeds than it has room for it passes over fewer; the join behind it is exact.
+    """
+    bits = 1 << 12
+    wanted = min(most_bits, 16 * item_seeds.count())
+    while bits < wanted:
+        bits *= 2
+    words_ = item_seeds.select("hash").mapInPandas(partial(_filter_words, bits), "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    held = np.zeros(bits // 64, dtype=np.uint64)
+    rows = words_.toPandas()  # at most bits / 64 rows
+    held[rows["word"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64).astype(np.uint64)
+    return item_seeds.sparkSession.sparkContext.broadcast(held)
+
+
+def _hits(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, wording, pos, hash): documents with seeds that pass the filter, with those seeds."""
+    known = held.value
+    last = np.uint64(len(known) * 64 - 1)
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            texts = [words(t) for t in part.column(1).to_pylist()]
+            row, pos, key = seeds(texts)
+            at = key.astype(np.uint64) & last
+            hit = np.flatnonzero((known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            hit = hit[np.argsort(row[hit], kind="stable")]
+            docs, starts = np.unique(row[hit], return_index=True)
+            ends = pa.array(np.append(starts, len(hit)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(docs, pa.int64())),
+                    pa.array([" ".join(texts[d]) for d in docs], pa.string()),
+                    pa.ListArray.from_arrays(ends, pa.array(pos[hit], pa.int32())),
+                    pa.ListArray.from_arrays(ends, pa.array(key[hit], pa.int64())),
+                ],
+                ["doc_id", "wording", "pos", "hash"],
+            )
 
 
 def stretch(doc: list[str], item: list[str], diagonal: int, common: frozenset[str] = frozenset()) -> int:
@@ -122,79 +160,62 @@ def stretch(doc: list[str], item: list[str], diagonal: int, common: frozenset[st
 
 def _wordings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"wording": [" ".join(words(t)) for t in batch["text"]]})
+        yield pd.DataFrame({"item_id": batch["item_id"], "wording": [" ".join(words(t)) for t in batch["text"]]})
 
 
 def common_words(items: DataFrame) -> frozenset[str]:
-    """Words in more than two percent of the different texts of ``items(text)`` (in more than four of them, if that is more).
+    """Words in more than two percent of the different wordings of ``items(wording)`` (in more than four of them, if that is more).
 
-    Texts of the same words count once. At most fifty times the words of a mean text are common, however many items there are.
+    At most fifty times the words of a mean wording are common, however many items there are.
     """
-    texts = items.select("text").distinct().mapInPandas(_wordings, "wording string").where("wording != ''").distinct()
-    texts = cut(texts)
+    texts = items.select("wording").distinct()
     most = max(4, texts.count() // 50)
     counts = texts.select(F.explode(F.array_distinct(F.split("wording", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return frozenset(r.w for r in counts.where(F.col("n") > most).select("w").toLocalIterator())
 
 
-def _verify(items, common: frozenset[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = {k: words(t) for k, t in items.value.items()}
-        for batch in batches:
-            docs, found = [], []
-            for doc_id, text, candidates in zip(batch["doc_id"], batch["text"], batch["candidates"], strict=True):
-                doc = words(text)
-                longest: dict[int, int] = {}
-                for c in candidates:
-                    item = of[c["item_id"]]
-                    need = max(LEAST_WORDS, len(item) * LEAST_SHARE)
-                    if longest.get(c["item_id"], 0) < need:
-                        longest[c["item_id"]] = max(longest.get(c["item_id"], 0), stretch(doc, item, c["diagonal"], common))
-                for k, size in longest.items():
-                    if size >= max(LEAST_WORDS, len(of[k]) * LEAST_SHARE):
+def _verify(common: frozenset[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        docs, found, sizes = [], [], []
+        for doc_id, wording, candidates in zip(batch["doc_id"], batch["wording"], batch["candidates"], strict=True):
+            doc = wording.split(" ")
+            for c in candidates:
+                item, longest = c["wording"].split(" "), 0
+                need = max(LEAST_WORDS, len(item) * LEAST_SHARE)
+                for diagonal in c["diagonals"]:
+                    longest = max(longest, stretch(doc, item, diagonal, common))
+                    if longest >= need:
                         docs.append(doc_id)
-                        found.append((k, size))
-            yield pd.DataFrame({"doc_id": docs, "item_id": [k for k, _ in found], "n_words": [n for _, n in found]})
+                        found.append(c["item_id"])
+                        sizes.append(longest)
+                        break
+        yield pd.DataFrame({"doc_id": docs, "item_id": found, "n_words": sizes})
 
-    return run
 
-
-def leaked(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id, n_words) of every document that holds an item, or an unbroken stretch of at least
-    twelve words and a third of its words, with the words of the longest stretch.
+    twelve words and a third of its words, with the words of the first such stretch that is found.
 
     ``documents(doc_id, text)`` and ``items(item_id, text)``; both ids unique. Items with the same text count
-    each. Null, empty and wordless texts hold nothing and stand nowhere; rows without an id are left out. Texts are compared whole. Items are
-    broadcast ``block_items`` at a time and each block is searched for in all documents, so that the size
-    of what is broadcast doesn't grow with either table.
+    each. Null, empty and wordless texts hold nothing and stand nowhere; rows without an id are left out. Texts are compared
+    whole. Documents are read once, whatever the number of items: what is broadcast to them is a filter of a fixed
+    size; the seeds that pass it meet those of the items in a join, and so do the items' words.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
-    blocks = max(1, -(-wanted.count() // block_items))
-    common = common_words(wanted)
-    out = None
-    for block in range(blocks):
-        mine = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        texts = {r.item_id: r.text for r in mine.toLocalIterator()}
-        found = _leaked_block(spark, docs, mine, texts, common)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _leaked_block(spark, docs: DataFrame, mine: DataFrame, texts: dict[int, str], common: frozenset[str]) -> DataFrame:
-    row, _, key = seeds([words(t) for t in texts.values()])
-    known = spark.sparkContext.broadcast(np.unique(np.append(key, 0)))
-    shape = "id bigint, pos int, hash bigint"
-    item_seeds = mine.select("item_id", "text").mapInArrow(_seed_rows(None), shape).toDF("item_id", "item_pos", "hash")
-    hits = docs.mapInArrow(_seed_rows(known), shape).toDF("doc_id", "pos", "hash")
+    wanted = cut(wanted.mapInPandas(_wordings, "item_id bigint, wording string").where("wording != ''"))
+    item_seeds = wanted.mapInPandas(_item_seeds, "item_id bigint, item_pos int, hash bigint")
+    held = seed_filter(item_seeds, filter_bits)
+    shape = "doc_id bigint, wording string, pos array<int>, hash array<bigint>"
+    hits = cut(docs.mapInArrow(partial(_hits, held), shape))
     candidates = (
-        hits.join(F.broadcast(item_seeds), "hash")
-        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .distinct()
+        hits.select("doc_id", F.inline(F.arrays_zip("pos", "hash")))
+        .join(item_seeds, "hash")
+        .groupBy("doc_id", "item_id")
+        .agg(F.sort_array(F.collect_set(F.col("pos") - F.col("item_pos"))).alias("diagonals"))
+        .join(wanted, "item_id")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("item_id", "diagonal")).alias("candidates"))
-    )
-    return docs.join(candidates, "doc_id").mapInPandas(
-        _verify(spark.sparkContext.broadcast(texts), common), "doc_id bigint, item_id bigint, n_words int"
+        .agg(F.collect_list(F.struct("item_id", "wording", "diagonals")).alias("candidates"))
     )
+    rows = hits.select("doc_id", "wording").join(candidates, "doc_id")
+    return rows.mapInPandas(partial(_verify, common_words(wanted)), "doc_id bigint, item_id bigint, n_words int")

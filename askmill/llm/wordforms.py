@@ -11,6 +11,10 @@ from askmill.llm.lookalike import ALIKE_FROM, ALIKE_TO
 _ALIKE = str.maketrans(ALIKE_FROM, ALIKE_TO)
 #: Small letters whose capitals are drawn like Latin ones: with case levelled they have to follow them.
 _SMALL_ALIKE = str.maketrans("квнмтκβημτζχ", "kbhmtkbhmtzx")
+_ALIKE_ANY = regex.compile(r"[\u0370-\u058f]")
+_PLAIN_MARKS = regex.compile(r"[^A-Za-z0-9\s/|]+")
+_PARTS = str.maketrans("/|", "  ")
+_OPENS = regex.compile(r"[<&\[{]")
 _MARKUP = regex.compile(r"<[^<>]{1,200}>|&(?:\w{2,8}|#\d+);|\[\d+\]|\{\{[^{}]*\}\}")
 _BREAK = regex.compile(r"(?<=\p{L})-\n(?=\p{Ll})")
 _SPLIT = regex.compile(r"[\s\p{Z}–—/|]+")
@@ -24,9 +28,20 @@ def words(text: str | None) -> list[str]:
     """
     if not text:
         return []
-    text = unicodedata.normalize("NFKC", text)
-    text = _MARKUP.sub(" ", _BREAK.sub("", text)).translate(_ALIKE)
-    text = unicodedata.normalize("NFC", _MARKS.sub("", text)).casefold().translate(_SMALL_ALIKE)
+    plain = text.isascii()
+    if not plain:
+        text = unicodedata.normalize("NFKC", text)
+    if "-\n" in text:
+        text = _BREAK.sub("", text)
+    if _OPENS.search(text):
+        text = _MARKUP.sub(" ", text)
+    if plain:  # nothing to level but case, marks and spaces
+        return _PLAIN_MARKS.sub("", text).lower().translate(_PARTS).split()
+    if _ALIKE_ANY.search(text):
+        text = text.translate(_ALIKE)
+    text = unicodedata.normalize("NFC", _MARKS.sub("", text)).casefold()
+    if _ALIKE_ANY.search(text):
+        text = text.translate(_SMALL_ALIKE)
     return [w for w in _SPLIT.split(text) if w]
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askmill.tables import cut
@@ -22,26 +23,43 @@ QUARTILES = (0.25, 0.5, 0.75)
 TELLING = {"en": "the of and which is was", "de": "der die das und wurde ist", "fr": "le la les et une est", "es": "el la los y una es"}
 
 _WORD = r"[\p{L}\p{M}]+"
+#: Signs that part or join clauses (fixed value).
+_CLAUSE = ",;:—("
 
 
 def _sentence(s: Column) -> Column:
-    """Length, vocabulary and syntax of one sentence."""
-    n = F.greatest(F.regexp_count(s, F.lit(_WORD)), F.lit(1)).cast("double")
-    letters = F.length(F.regexp_replace(s, r"[^\p{L}\p{M}]", ""))
+    """The words of one sentence, and what is counted in its characters."""
+    return F.struct(
+        F.regexp_extract_all(s, F.lit(_WORD), F.lit(0)).alias("w"),
+        F.regexp_count(s, F.lit(r"(?i)[aeiouyäöüàâéèêëîïôûùáíóúœæ]+")).alias("syllables"),
+        (F.length(s) - F.length(F.translate(s, _CLAUSE, ""))).alias("marks"),
+        F.regexp_count(s, F.lit(r"\p{N}+")).alias("numbers"),
+    )
+
+
+def _measures(x: Column) -> Column:
+    """Length, vocabulary and syntax of one sentence, from the lengths of its words."""
+    lengths = F.transform(x.w, lambda w: F.length(w))
+    n = F.greatest(F.size(x.w), F.lit(1)).cast("double")
+
+    def share(condition) -> Column:
+        return F.size(F.filter(lengths, condition)) / n
+
     return F.struct(
         n.alias("words"),
-        (letters / n).alias("letters"),
-        (F.regexp_count(s, F.lit(r"[\p{L}\p{M}]{9,}")) / n).alias("long"),
-        (F.regexp_count(s, F.lit(r"[\p{L}\p{M}]{13,}")) / n).alias("longest"),
-        (F.regexp_count(s, F.lit(r"(?i)[aeiouyäöüàâéèêëîïôûùáíóúœæ]+")) / n).alias("syllables"),
-        (F.regexp_count(s, F.lit(r"(?<![\p{L}\p{M}])[\p{L}\p{M}]{1,3}(?![\p{L}\p{M}])")) / n).alias("short"),
-        (F.regexp_count(s, F.lit(r"[,;:—(]")) / n).alias("marks"),
-        (F.regexp_count(s, F.lit(r"(?<![\p{L}\p{M}])\p{Lu}")) / n).alias("capitals"),
-        (F.regexp_count(s, F.lit(r"\p{N}+")) / n).alias("numbers"),
+        (F.aggregate(lengths, F.lit(0), lambda total, k: total + k) / n).alias("letters"),
+        share(lambda k: k >= 9).alias("long"),
+        share(lambda k: k >= 13).alias("longest"),
+        (x.syllables / n).alias("syllables"),
+        share(lambda k: k <= 3).alias("short"),
+        (x.marks / n).alias("marks"),
+        (n / (x.marks + 1)).alias("clause"),
+        (F.size(F.filter(x.w, lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))) / n).alias("capitals"),
+        (x.numbers / n).alias("numbers"),
     )
 
 
-_SENTENCE = ("words", "letters", "long", "longest", "syllables", "short", "marks", "capitals", "numbers")
+_SENTENCE = ("words", "letters", "long", "longest", "syllables", "short", "marks", "clause", "capitals", "numbers")
 
 
 def _holding(word: str) -> Column:
@@ -62,8 +80,10 @@ def features(documents: DataFrame, *carried: str) -> DataFrame:
         documents.where("text IS NOT NULL")
         .select("doc_id", "source", *carried, sentences.alias("s"))
         .where(F.size("s") > 0)
-        .withColumn("m", F.transform("s", _sentence))
-        .withColumn("w", F.transform("s", lambda s: F.array_distinct(F.split(F.lower(s), r"[^\p{L}\p{M}]+"))))
+        .select("doc_id", "source", *carried, F.transform("s", _sentence).alias("t"))
+        # the words of a sentence are found once; everything else is counted from them
+        .withColumn("m", F.transform("t", _measures))
+        .withColumn("w", F.transform("t", lambda x: F.array_distinct(F.transform(x.w, lambda w: F.lower(w)))))
     )
     at = F.size("m") - 1
     for name in _SENTENCE:
@@ -99,14 +119,12 @@ def graded_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     # graded texts are picked before anything is measured
     rows = features(documents.select("doc_id", "text", "source").join(graded, "doc_id"), "grade")
     rows = cut(rows.repartition(FOLDS))
-    sources = rows.groupBy(F.coalesce("source", F.lit("")).alias("named")).agg(F.count("*").alias("n"))
-    order = sources.orderBy(F.desc("n"), "named").limit(FIT_ROWS).collect()  # of the bounded sample
-    # the largest source alone in the first fold, the others dealt out in turn
-    folds = {r.named: k if k < FOLDS else 1 + k % (FOLDS - 1) for k, r in enumerate(order)}
-    if not folds:
-        return rows.withColumn("fold", F.lit(0))
-    fold = F.coalesce(*(F.when(F.coalesce("source", F.lit("")) == k, v) for k, v in folds.items()))
-    return cut(rows.withColumn("fold", fold))
+    # the largest source alone in the first fold, the others dealt out in turn; of a bounded sample, so is the window
+    named = F.coalesce("source", F.lit("")).alias("named")
+    order = F.row_number().over(Window.orderBy(F.desc("n"), "named")) - 1
+    folds = rows.groupBy(named).agg(F.count("*").alias("n")).select("named", order.alias("k"))
+    folds = folds.select("named", F.when(F.col("k") < FOLDS, F.col("k")).otherwise(1 + F.col("k") % (FOLDS - 1)).alias("fold"))
+    return cut(rows.join(folds, F.coalesce("source", F.lit("")) == F.col("named")).drop("named").repartition(FOLDS))
 
 
 def _trees() -> GBTRegressor:
@@ -123,16 +141,23 @@ def _trees() -> GBTRegressor:
     )
 
 
-def held_out(sample: DataFrame) -> DataFrame:
-    """(doc_id, source, grade, raw): each graded document as predicted by trees that saw no document of its fold's sources."""
+def _at_once(jobs: list):
+    """The results of ``jobs``, which are run side by side: a fit is a long row of short jobs and fills no cluster."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
+def fitted(sample: DataFrame):
+    """(model, predicted): trees fitted on the whole sample, and (doc_id, source, grade, fold, raw), each graded document
+    as predicted by trees that saw no document of its fold's sources. With one fold nothing is held out."""
     folds = sorted(r.fold for r in sample.select("fold").distinct().collect())
     if len(folds) < 2:
-        return _trees().fit(sample).transform(sample).select("doc_id", "source", "grade", "raw")
-    parts = [
-        _trees().fit(sample.where(F.col("fold") != k)).transform(sample.where(F.col("fold") == k)).select("doc_id", "source", "grade", "raw")
-        for k in folds
-    ]
-    return cut(reduce(DataFrame.unionByName, parts))
+        model = _trees().fit(sample)
+        return model, model.transform(sample).select("doc_id", "source", "grade", "fold", "raw")
+    parts = [sample, *(sample.where(F.col("fold") != k) for k in folds)]
+    model, *others = _at_once([partial(_trees().fit, part) for part in parts])
+    predicted = [m.transform(sample.where(F.col("fold") == k)) for m, k in zip(others, folds, strict=True)]
+    return model, cut(reduce(DataFrame.unionByName, predicted).select("doc_id", "source", "grade", "fold", "raw"))
 
 
 def calibration(predicted: DataFrame):
@@ -140,6 +165,15 @@ def calibration(predicted: DataFrame):
     return IsotonicRegression(labelCol="grade", featuresCol="raw", predictionCol="expected").fit(predicted)
 
 
+def calibrated_out_of_fold(predicted: DataFrame) -> DataFrame:
+    """``predicted`` with expected grades by a calibration that saw nothing of the fold's sources either."""
+    folds = sorted(r.fold for r in predicted.select("fold").distinct().collect())
+    if len(folds) < 2:
+        return calibration(predicted).transform(predicted)
+    steps = _at_once([partial(calibration, predicted.where(F.col("fold") != k)) for k in folds])
+    return reduce(DataFrame.unionByName, [s.transform(predicted.where(F.col("fold") == k)) for s, k in zip(steps, folds, strict=True)])
+
+
 def _band(expected: Column) -> Column:
     return F.greatest(F.round(expected), F.lit(1)).cast("int")
 
@@ -155,15 +189,17 @@ def bands(documents: DataFrame, labels: DataFrame) -> DataFrame:
     sample = graded_sample(documents, labels)
     if sample.isEmpty():
         return rows.select("doc_id", F.lit(None).cast("int").alias("band"))
-    model, step = _trees().fit(sample), calibration(held_out(sample))
+    model, predicted = fitted(sample)
+    step = calibration(predicted)
     return step.transform(model.transform(rows).select("doc_id", "raw")).select("doc_id", _band(F.col("expected")).alias("band"))
 
 
 def by_source(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Held-out quality per source: (source, n, rmse, agree), where agree is the share of equal rounded bands."""
-    sample = graded_sample(documents, labels)
-    predicted = held_out(sample)
-    expected = calibration(predicted).transform(predicted)
+    """Held-out quality per source: (source, n, rmse, agree), where agree is the share of equal rounded bands.
+
+    Neither the trees nor the calibration that a document is scored by saw a document of its source.
+    """
+    expected = calibrated_out_of_fold(fitted(graded_sample(documents, labels))[1])
     return expected.groupBy("source").agg(
         F.count("*").alias("n"),
         F.round(F.sqrt(F.avg(F.pow(F.col("expected") - F.col("grade"), 2))), 4).alias("rmse"),

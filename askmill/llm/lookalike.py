@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askmill.tables import cut
+
 #: Letters of other alphabets that are drawn like Latin ones (fixed values: Cyrillic, Greek, Armenian).
 _ALIKE = (
     ("АВЕЅІЈКМНОРСТУХҮԛԝԚԜ", "ABESIJKMHOPCTYXYqwQW"),
@@ -64,7 +66,8 @@ def classes(values: DataFrame, column: str = "value") -> DataFrame:
     )
     checked = grouped.withColumn("form", mapped(normal_form("mapped")))
     several = checked.groupBy("class_key", "form").agg(F.count("*").alias("members")).where("members > 1")
-    return checked.join(several, ["class_key", "form"]).select("value", F.col("form").alias("class_form"))
+    # pairs and canonical members read the classes twice
+    return cut(checked.join(several, ["class_key", "form"]).select("value", F.col("form").alias("class_form")))
 
 
 def alike_pairs(members: DataFrame) -> DataFrame:

@@ -28,7 +28,10 @@ FIRST_WINDOW = 16
 def encoder(path: str):
     """The tokenizer of a rank file; loaded once in each Python worker."""
     import tiktoken
+    from pyspark import SparkFiles
 
+    if not os.path.exists(path):  # a machine that has no such folder has the file that came with the job
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -47,10 +50,11 @@ def _bounds(enc, ids: list[int]) -> list[int]:
     return out
 
 
-#: Between a letter and a character that is none, or a digit and a character that is none, the split
-#: pattern always cuts, whatever surrounds them: none of its pieces holds such a pair.
-_BORDER = r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})"
+#: Between a letter and a character that is none, a digit and a character that is none, or a character that is no blank and a
+#: blank, the split pattern always cuts, whatever surrounds them: none of its pieces holds such a pair.
+_BORDER = r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])"
 _ONE_CLASS = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
+_BLANKS = r"[ \t\n\r]+"
 
 
 def _characters(data: bytes) -> tuple[int, str]:
@@ -90,7 +94,7 @@ def join_ids(enc, left: list[int], right: list[int]) -> list[int]:
     w = FIRST_WINDOW
     while w < max(len(left), len(right)):
         a, b = left[-w:], right[:w]
-        got = _between_borders(enc, a, b, len(a) == len(left), len(b) == len(right)) or _within_piece(enc, a, b)
+        got = _between_borders(enc, a, b, len(a) == len(left), len(b) == len(right)) or _within_piece(enc, a, b, right[w : w + 1])
         if got:
             return left[: len(left) - len(a)] + got + right[len(b) :]
         w *= 2
@@ -108,11 +112,14 @@ def _between_borders(enc, a: list[int], b: list[int], whole_a: bool, whole_b: bo
     return a[: _bounds(enc, a).index(start)] + enc.encode_ordinary(middle) + b[_bounds(enc, b).index(end) :]
 
 
-def _within_piece(enc, a: list[int], b: list[int]) -> list[int] | None:
+def _within_piece(enc, a: list[int], b: list[int], behind: list[int]) -> list[int] | None:
+    """A run of blanks is one piece but for its last blank, so that the window must end where it goes on, or with the text."""
     import regex
 
     data = enc.decode_bytes(a) + enc.decode_bytes(b)
-    if not regex.fullmatch(_ONE_CLASS, _characters(data)[1]):
+    text = _characters(data)[1]
+    blank = regex.fullmatch(_BLANKS, text) and (not behind or regex.fullmatch(_BLANKS, enc.decode_bytes(behind).decode("utf-8", errors="replace")))
+    if not blank and not regex.fullmatch(_ONE_CLASS, text):
         return None
     ids = enc._encode_single_piece(data)
     return ids if ids[0] == a[0] and ids[-1] == b[-1] else None
@@ -165,6 +172,7 @@ def token_ids(documents: DataFrame, path: str | None = None, leaf: int = LEAF) -
     task holds the two halves of one text at a time.
     """
     path = path or rank_file()
+    documents.sparkSession.sparkContext.addFile(path)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > leaf
     short = docs.where(~long).mapInArrow(_encode_texts(path), "doc_id bigint, ids array<int>")

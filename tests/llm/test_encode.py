@@ -18,12 +18,30 @@ def test_join_equals_whole_encoding():
         assert encode.join_ids(enc, enc.encode_ordinary(text[:cut]), enc.encode_ordinary(text[cut:])) == enc.encode_ordinary(text)
 
 
-@pytest.mark.parametrize("text", ["a" * 20_000, "日本語" * 4000, "".join(random.Random(5).choices("abcdefgh", k=20_000)), " " * 5000 + "x"])
+@pytest.mark.parametrize("text", ["a" * 20_000, "日本語" * 4000, "".join(random.Random(5).choices("abcdefgh", k=20_000)), " " * 5000 + "x", "\n" * 9000 + "x", " \t\n" * 3000, "-- " * 6000, "a" + " " * 9000])
 def test_join_within_one_piece(text):
     enc, k = encode.encoder(encode.rank_file()), len(text) // 2
     assert encode.join_ids(enc, enc.encode_ordinary(text[:k]), enc.encode_ordinary(text[k:])) == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("unit", ["-- ", "… ", " \n", "=\t= "])
+def test_join_of_marks_and_blanks_reads_a_window_only(monkeypatch, unit):
+    enc = encode.encoder(encode.rank_file())
+    text = unit * 60_000
+    left, right = enc.encode_ordinary(text[: len(text) // 2 + 1]), enc.encode_ordinary(text[len(text) // 2 + 1 :])
+    want, seen = enc.encode_ordinary(text), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(enc, name)
+
+        def encode_ordinary(self, t):
+            seen.append(len(t))
+            return enc.encode_ordinary(t)
+
+    assert encode.join_ids(Watched(), left, right) == want and max(seen, default=0) < 1000
+
+
 def test_tree_over_documents(spark):
     draw = random.Random(9)
     texts = ["".join(draw.choice(PIECES) for _ in range(n)) for n in (0, 1, 20, 300, 1000, 2500)] + [None, "", "<|endoftext|>"]

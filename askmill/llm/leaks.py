@@ -27,8 +27,8 @@ LEAST_SHARE = 1 / 3
 #: Words that stand between two changed ones, and changed words in the words of a stretch, at most.
 CHANGE_GAP = 5
 CHANGE_SHARE = 1 / 7
-#: Bits of the filter that passes over seeds no item has: sixteen for each seed of the items, but no more than these (32 MB).
-FILTER_BITS = 1 << 28
+#: Words of 64 bits of the filter that passes over seeds no item has: one for each seed of the items, but no more than these (32 MB).
+FILTER_WORDS = 1 << 22
 
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(8)], dtype=np.uint64)
 
@@ -70,29 +70,38 @@ def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"item_id": batch["item_id"].to_numpy()[row], "item_pos": pos.astype(np.int32), "hash": key})
 
 
-def _filter_words(bits: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Seeds as (word, mask) of a filter of ``bits`` bits, those of a batch in the same word put together."""
+def _marks(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a filter of ``size`` words that each hash is looked up in, and its four bits there."""
+    h = key.astype(np.uint64)
+    mask = np.zeros(len(h), dtype=np.uint64)
+    for shift in (0, 6, 12, 18):
+        mask |= np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
+    return ((h >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64), mask
+
+
+def _filter_words(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Seeds as (word, mask) of a filter of ``size`` words, those of a batch in the same word put together."""
     for batch in batches:
-        at = batch["hash"].to_numpy().astype(np.uint64) & np.uint64(bits - 1)
-        word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-        mask = np.zeros(len(word), dtype=np.uint64)
-        np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
-        yield pd.DataFrame({"word": word.astype(np.int64), "mask": mask.astype(np.int64)})
+        at, mask = _marks(batch["hash"].to_numpy(), size)
+        word, inverse = np.unique(at, return_inverse=True)
+        held = np.zeros(len(word), dtype=np.uint64)
+        np.bitwise_or.at(held, inverse, mask)
+        yield pd.DataFrame({"word": word, "mask": held.astype(np.int64)})
 
 
-def seed_filter(item_seeds: DataFrame, most_bits: int = FILTER_BITS):
-    """The broadcast filter of the hashes of ``item_seeds(hash)``: a bit is set for each hash, modulo its size.
+def seed_filter(item_seeds: DataFrame, most_words: int = FILTER_WORDS):
+    """The broadcast filter of the hashes of ``item_seeds(hash)``: four bits are set for each of them.
 
     It is put together by the tasks, word by word; its size has a fixed bound, and the driver holds it and nothing else.
     With more seeds than it has room for it passes over fewer; the join behind it is exact.
     """
-    bits = 1 << 12
-    wanted = min(most_bits, 16 * item_seeds.count())
-    while bits < wanted:
-        bits *= 2
-    words_ = item_seeds.select("hash").mapInPandas(partial(_filter_words, bits), "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    held = np.zeros(bits // 64, dtype=np.uint64)
-    rows = words_.toPandas()  # at most bits / 64 rows
+    size = 1
+    wanted = min(most_words, item_seeds.count())
+    while size < wanted:
+        size *= 2
+    filled = item_seeds.select("hash").mapInPandas(partial(_filter_words, size), "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    held = np.zeros(size, dtype=np.uint64)
+    rows = filled.toPandas()  # at most ``size`` rows
     held[rows["word"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64).astype(np.uint64)
     return item_seeds.sparkSession.sparkContext.broadcast(held)
 
@@ -100,13 +109,12 @@ def seed_filter(item_seeds: DataFrame, most_bits: int = FILTER_BITS):
 def _hits(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, wording, pos, hash): documents with seeds that pass the filter, with those seeds."""
     known = held.value
-    last = np.uint64(len(known) * 64 - 1)
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
             texts = [words(t) for t in part.column(1).to_pylist()]
             row, pos, key = seeds(texts)
-            at = key.astype(np.uint64) & last
-            hit = np.flatnonzero((known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            at, mask = _marks(key, len(known))
+            hit = np.flatnonzero((known[at] & mask) == mask)
             hit = hit[np.argsort(row[hit], kind="stable")]
             docs, starts = np.unique(row[hit], return_index=True)
             ends = pa.array(np.append(starts, len(hit)), pa.int32())
@@ -192,7 +200,7 @@ def _verify(common: frozenset[str], batches: Iterator[pd.DataFrame]) -> Iterator
         yield pd.DataFrame({"doc_id": docs, "item_id": found, "n_words": sizes})
 
 
-def leaked(documents: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words) of every document that holds an item, or an unbroken stretch of at least
     twelve words and a third of its words, with the words of the first such stretch that is found.
 
@@ -205,7 +213,7 @@ def leaked(documents: DataFrame, items: DataFrame, filter_bits: int = FILTER_BIT
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     wanted = cut(wanted.mapInPandas(_wordings, "item_id bigint, wording string").where("wording != ''"))
     item_seeds = wanted.mapInPandas(_item_seeds, "item_id bigint, item_pos int, hash bigint")
-    held = seed_filter(item_seeds, filter_bits)
+    held = seed_filter(item_seeds, filter_words)
     shape = "doc_id bigint, wording string, pos array<int>, hash array<bigint>"
     hits = cut(docs.mapInArrow(partial(_hits, held), shape))
     candidates = (

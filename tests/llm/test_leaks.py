@@ -39,8 +39,8 @@ def test_what_is_no_leak(spark):
 
 def test_equal_items_each_count_whatever_the_filter_lets_through(spark):
     items = (ITEM, "other words only", ITEM, None, "")
-    for bits in (64, L.FILTER_BITS):
-        assert found(spark, [ITEM, "nothing of it " * 9, None], items, filter_bits=bits) == {(0, 100), (0, 102)}
+    for size in (1, L.FILTER_WORDS):
+        assert found(spark, [ITEM, "nothing of it " * 9, None], items, filter_words=size) == {(0, 100), (0, 102)}
 
 
 @pytest.mark.parametrize("start", range(0, 20, 3))
@@ -73,9 +73,9 @@ def test_item_under_many_ids_with_one_changed_word(spark):
     other = [f"other text number{i} of its own" for i in range(3)]
     want = {(0, 100 + i) for i in range(10)}
     assert found(spark, [" ".join(part)], [item] * 10 + other) == want
-    assert found(spark, [" ".join(part)], [item] * 5 + [item.upper()] * 5 + other, filter_bits=64) == want
+    assert found(spark, [" ".join(part)], [item] * 5 + [item.upper()] * 5 + other, filter_words=1) == want
 
 
 def test_items_of_one_mould_and_two_changed_words(spark):
     changed_twice = " ".join("former" if i in (7, 20) else w for i, w in enumerate(W))
-    assert found(spark, [changed_twice], [ITEM] * 6) == found(spark, [changed_twice], [ITEM] * 6, filter_bits=64)
+    assert found(spark, [changed_twice], [ITEM] * 6) == found(spark, [changed_twice], [ITEM] * 6, filter_words=1)

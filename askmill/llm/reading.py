@@ -30,16 +30,17 @@ _CLAUSE = ",;:—("
 def _sentence(s: Column) -> Column:
     """The words of one sentence, and what is counted in its characters."""
     return F.struct(
-        F.regexp_extract_all(s, F.lit(_WORD), F.lit(0)).alias("w"),
+        F.regexp_extract_all(F.lower(s), F.lit(_WORD), F.lit(0)).alias("w"),
         F.regexp_count(s, F.lit(r"(?i)[aeiouyäöüàâéèêëîïôûùáíóúœæ]+")).alias("syllables"),
         (F.length(s) - F.length(F.translate(s, _CLAUSE, ""))).alias("marks"),
+        F.regexp_count(s, F.lit(r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})")).alias("capitals"),
         F.regexp_count(s, F.lit(r"\p{N}+")).alias("numbers"),
     )
 
 
 def _measures(x: Column) -> Column:
     """Length, vocabulary and syntax of one sentence, from the lengths of its words."""
-    lengths = F.transform(x.w, lambda w: F.length(w))
+    lengths = x.lengths
     n = F.greatest(F.size(x.w), F.lit(1)).cast("double")
 
     def share(condition) -> Column:
@@ -54,7 +55,7 @@ def _measures(x: Column) -> Column:
         share(lambda k: k <= 3).alias("short"),
         (x.marks / n).alias("marks"),
         (n / (x.marks + 1)).alias("clause"),
-        (F.size(F.filter(x.w, lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))) / n).alias("capitals"),
+        (x.capitals / n).alias("capitals"),
         (x.numbers / n).alias("numbers"),
     )
 
@@ -62,9 +63,10 @@ def _measures(x: Column) -> Column:
 _SENTENCE = ("words", "letters", "long", "longest", "syllables", "short", "marks", "clause", "capitals", "numbers")
 
 
-def _holding(word: str) -> Column:
-    """Number of sentences that hold a word."""
-    return F.size(F.filter("w", lambda w: F.array_contains(w, word)))
+def _held(sentences: str, small: str) -> Column:
+    """How many of the words ``small`` the sentences hold, summed over them."""
+    own = F.split(F.lit(small), " ")
+    return F.aggregate(sentences, F.lit(0), lambda n, w: n + F.size(F.array_intersect(w, own)))
 
 
 def features(documents: DataFrame, *carried: str) -> DataFrame:
@@ -74,20 +76,20 @@ def features(documents: DataFrame, *carried: str) -> DataFrame:
     sentence of another kind moves none of them far; cohesion by the words that neighbouring sentences
     share. Texts are read whole; everything is an expression over the document's own row.
     """
-    text = F.regexp_replace("text", r"\s+", " ")
-    sentences = F.filter(F.split(text, r"(?<=[.!?…])[»”\"')\]]*\s+"), lambda s: s.rlike(r"\p{L}"))
+    # patterns that begin with a look behind are tried at every character
+    sentences = F.filter(F.split("text", r"[.!?…][»”\"')\]]*\s+"), lambda s: s.rlike(r"\p{L}"))
     rows = (
-        documents.where("text IS NOT NULL")
+        documents.where(F.col("text").rlike(r"\p{L}"))
         .select("doc_id", "source", *carried, sentences.alias("s"))
-        .where(F.size("s") > 0)
         .select("doc_id", "source", *carried, F.transform("s", _sentence).alias("t"))
-        # the words of a sentence are found once; everything else is counted from them
+        # the words of a sentence are found and measured once; everything else is counted from them
+        .withColumn("t", F.transform("t", lambda x: F.struct(x.w.alias("w"), F.transform(x.w, lambda w: F.length(w)).alias("lengths"), *(x[c].alias(c) for c in ("syllables", "marks", "capitals", "numbers")))))
         .withColumn("m", F.transform("t", _measures))
-        .withColumn("w", F.transform("t", lambda x: F.array_distinct(F.transform(x.w, lambda w: F.lower(w)))))
+        .withColumn("w", F.transform("t", lambda x: F.array_distinct(x.w)))
     )
     at = F.size("m") - 1
     for name in _SENTENCE:
-        rows = rows.withColumn(f"o_{name}", F.array_sort(F.col("m").getField(name)))
+        rows = rows.withColumn(f"o_{name}", F.sort_array(F.col("m").getField(name)))
     columns = {f"{name}_{int(q * 100)}": F.get(f"o_{name}", F.round(at * q).cast("int")) for name in _SENTENCE for q in QUARTILES}
     shared = F.transform(
         F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
@@ -99,8 +101,7 @@ def features(documents: DataFrame, *carried: str) -> DataFrame:
     every = F.flatten("w")
     columns["variety"] = F.size(F.array_distinct(every)) / F.greatest(F.size(every), F.lit(1))
     for language, small in TELLING.items():
-        hits = reduce(lambda a, b: a + b, (_holding(k) for k in small.split()))
-        columns[f"small_{language}"] = hits / F.size("w")
+        columns[f"small_{language}"] = _held("w", small) / F.size("w")
     named = rows.select("doc_id", "source", *carried, *(c.cast("double").alias(k) for k, c in columns.items()))
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(named).select(
         "doc_id", "source", "features", *carried

@@ -99,8 +99,69 @@ def run_comparison(runs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def paired_by_position(left: DataFrame, right: DataFrame, order: str, key: str) -> DataFrame:
+    """(place, left, right): two sequences joined row by row, each in the order of ``order``.
+
+    Where one is longer its rows stand alone. Places come from ranged partitions, so that no sequence is sorted in one task.
+    """
+    a = ordinals(left.select(F.col(order).alias("_o"), F.col(key).alias("left")), "_o", "place").select("place", "left", F.lit(True).alias("_a"))
+    b = ordinals(right.select(F.col(order).alias("_o"), F.col(key).alias("right")), "_o", "place").select("place", "right", F.lit(True).alias("_b"))
+    return a.join(b, "place", "full").select("place", "left", "right", F.col("_a").isNotNull().alias("has_left"), F.col("_b").isNotNull().alias("has_right"))
+
+
+def position_mismatches(paired: DataFrame) -> DataFrame:
+    """Rows of ``paired_by_position`` that stand alone or hold different keys; a strict join has none."""
+    return paired.where(~(F.col("has_left") & F.col("has_right") & F.col("left").eqNullSafe(F.col("right"))))
+
+
+def not_increasing(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """(order, value, before): rows whose value is not above the one of the row before in the order of ``order``."""
+    numbered = cut(ordinals(rows.select(order, value), order, "_place"))
+    before = numbered.select((F.col("_place") + 1).alias("_place"), F.col(value).alias("before"))
+    return numbered.join(before, "_place").where(~F.coalesce(F.col(value) > F.col("before"), F.lit(False))).select(order, value, "before")
+
+
+def incomplete_rankings(queries: DataFrame, ranking: DataFrame, k: int) -> DataFrame:
+    """(example_id, n): queries for which the ranking does not hold exactly ``k`` documents, none at all included."""
+    counted = ranking.groupBy("example_id").agg(F.count("*").alias("n"))
+    return queries.select("example_id").distinct().join(counted, "example_id", "left").select("example_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") != k)
+
+
+def require_counts(observed: dict[str, int], expected: dict[str, int]) -> None:
+    """An error that names every count that is not as expected."""
+    wrong = [f"{k}: {observed.get(k)} instead of {v}" for k, v in expected.items() if observed.get(k) != v]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+
+
+def bound_issues(ledger: DataFrame, norm_limit: float = 0.002) -> DataFrame:
+    """(shard_index, rule): rows of a ledger whose numbers can't be: no documents, fewer tokens than documents,
+    more truncated documents than documents or fewer than none, a norm error outside of 0 to ``norm_limit``."""
+    n, no = F.col("document_count"), F.lit(False)
+    rules = {
+        "no_documents": ~F.coalesce(n > 0, no),
+        "tokens": ~F.coalesce(F.col("tokens_processed") >= n, no),
+        "truncated": ~F.coalesce(F.col("truncated_documents").between(0, n), no),
+        "norm_error": ~F.coalesce(F.col("max_norm_error").between(0, norm_limit), no),
+    }
+    broken = F.array_compact(F.array(*(F.when(cond, F.lit(rule)) for rule, cond in rules.items())))
+    return ledger.select("shard_index", F.explode(broken).alias("rule"))
+
+
+def manifest_issues(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, issue) of a full join of ``manifest(path, length, sha256)`` with ``files``: missing, unlisted, length, sha256."""
+    joined = manifest.alias("m").join(files.alias("f"), "path", "full")
+    issue = (
+        F.when(F.col("f.length").isNull(), "missing")
+        .when(F.col("m.length").isNull(), "unlisted")
+        .when(F.col("m.length") != F.col("f.length"), "length")
+        .when(~F.col("m.sha256").eqNullSafe(F.col("f.sha256")), "sha256")
+    )
+    return joined.select("path", issue.alias("issue")).where("issue IS NOT NULL")
+
+
 def file_inventory(spark, folder: str) -> DataFrame:
-    """(path, length, sha256) of the files under a folder, relative to it."""
+    """(path, length, sha256, md5) of the files under a folder, relative to it; a file above 2 GB does not fit in a row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     relative: Column = F.regexp_replace("path", r"^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "")
-    return files.select(relative.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    return files.select(relative.alias("path"), "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))

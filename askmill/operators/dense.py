@@ -19,7 +19,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLO
 
     ``vectors(vec_id, embedding)``, ``queries(query_id, embedding)`` without null vectors. Each task multiplies
     its rows by a block of queries and keeps ``k`` of them a query, so that a shuffle carries k rows for each
-    query and batch, whatever the number of vectors. Scores are compared and given to six places.
+    query and task, whatever the number of vectors. Scores are compared and given to six places.
     """
     wanted = queries.count()
     out = None
@@ -38,14 +38,22 @@ def _block_top_k(vectors: DataFrame, part: list, k: int) -> DataFrame:
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, q = held.value
+        least = np.full(len(query_ids), -np.inf)  # the k-th best score so far
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for rows in batches:
             if not len(rows) or not len(query_ids):
                 continue
             vec = rows["vec_id"].to_numpy()
             scores = np.round(np.stack(rows["embedding"].to_numpy()).astype(np.float64) @ q.T, 6) + 0.0
-            for j, query in enumerate(query_ids):
-                top = np.lexsort((vec, -scores[:, j]))[:k]
-                yield pd.DataFrame({"query_id": query, "vec_id": vec[top], "score": scores[top, j]})
+            i, j = np.nonzero(scores >= least)
+            at, ids, score = (np.concatenate(x) for x in zip(best, (j, vec[i], scores[i, j]), strict=True))
+            order = np.lexsort((ids, -score, at))
+            at, ids, score = at[order], ids[order], score[order]
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+            place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+            least[at[place == k - 1]] = score[place == k - 1]
+            best = at[place < k], ids[place < k], score[place < k]
+        yield pd.DataFrame({"query_id": query_ids[best[0]], "vec_id": best[1], "score": best[2]})
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     local = vectors.where("embedding IS NOT NULL").mapInPandas(nearest, "query_id long, vec_id long, score double")

@@ -33,7 +33,7 @@ def answer_score(prediction: Column, gold: Column) -> Column:
 
 
 def support_score(predicted: Column, gold: Column) -> Column:
-    """struct(sp_em, sp_f1, sp_prec, sp_recall) of two arrays taken as sets; both empty match exactly with f1 0."""
+    """struct(sp_em, sp_f1, sp_prec, sp_recall) of two arrays of (title, sentence_id) taken as sets; both empty match exactly with f1 0."""
     p, g = F.array_distinct(predicted), F.array_distinct(gold)
     tp = F.size(F.array_intersect(p, g))
     prec = F.when(F.size(p) > 0, tp / F.size(p)).otherwise(0.0)
@@ -57,17 +57,18 @@ def evaluate(examples: DataFrame, answers: DataFrame, support: DataFrame) -> Dat
     """Twelve scores per example.
 
     ``examples(example_id, answer, facts)``, ``answers(example_id, prediction)``, ``support(example_id,
-    predicted)``. A missing answer counts as "", missing support as none; joint scores are 0 unless both are there.
+    predicted)``, where facts and predicted are arrays of struct(title, sentence_id). A missing answer counts as "", missing support as none; joint scores are 0 unless both are there.
     """
     joined = examples.join(answers, "example_id", "left").join(support, "example_id", "left")
     both = F.col("prediction").isNotNull() & F.col("predicted").isNotNull()
+    none = F.array().cast(examples.schema["facts"].dataType)
     scored = joined.select(
         "example_id",
         F.col("prediction").isNull().alias("missing_answer"),
         F.col("predicted").isNull().alias("missing_support"),
         both.alias("both"),
         answer_score(F.coalesce("prediction", F.lit("")), F.coalesce("answer", F.lit(""))).alias("a"),
-        support_score(F.coalesce("predicted", F.array().cast("array<string>")), F.coalesce("facts", F.array().cast("array<string>"))).alias("s"),
+        support_score(F.coalesce("predicted", none), F.coalesce("facts", none)).alias("s"),
     )
     return scored.select("*", joint_score(F.col("a"), F.col("s"), F.col("both")).alias("j")).select(
         "example_id", "missing_answer", "missing_support", "a.*", "s.*", "j.*"

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: what stands between the parts of a hashed key.
+NUL = "\x00"
+
+
 def hash_key(seed: int, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts)), 256)
+    """The digest by which samples are ordered: of the seed and the parts, with NUL between them."""
+    return F.sha2(F.concat_ws(NUL, F.lit(str(seed)), *(p.cast("string") for p in parts)), 256)
+
 
+def hash_slice(rows: DataFrame, key: str, size: int, seed: int, clip: bool = False) -> DataFrame:
+    """The ``size`` rows with the smallest hash of seed and key.
 
-def hash_slice(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
-    """The ``size`` rows with the smallest hash of seed and key."""
+    A size below 1, one beyond the number of rows (unless ``clip``) and repeated or null keys are errors.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    row = rows.agg(F.count("*").alias("n"), F.count_distinct(key).alias("different")).first()
+    if size > row.n and not clip:
+        raise ValueError(f"size {size} exceeds the {row.n} rows")
+    if row.n != row.different:
+        raise ValueError(f"{key} must be unique and not null")
     return rows.orderBy(hash_key(seed, F.col(key)), key).limit(size)
 
 
 def two_phase_slice(parts: list[DataFrame], key: str, size: int, seed: int) -> DataFrame:
-    """The same slice taken from each part first and then from all of them together."""
-    slices = [hash_slice(p, key, size, seed) for p in parts]
-    whole = slices[0]
-    for p in slices[1:]:
-        whole = whole.unionByName(p)
-    return hash_slice(whole, key, size, seed)
+    """The same slice taken from each part first and then from all of them together; a key in two parts is an error."""
+    slices = [hash_slice(p, key, size, seed, clip=True) for p in parts]
+    return hash_slice(reduce(DataFrame.unionByName, slices), key, size, seed)
 
 
 def ordinals(rows: DataFrame, key: str, name: str = "rowid") -> DataFrame:
@@ -45,23 +59,26 @@ def systematic(numbered: DataFrame, size: int, rowid: str = "rowid") -> DataFram
     return numbered.join(wanted, rowid, "left_semi")
 
 
-def bucket(value: Column, buckets: Column | int) -> Column:
-    """A bucket number from the first 32 bits of a digest."""
-    return (F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("bigint") % buckets).cast("bigint")
-
-
-def distractors(base: DataFrame, pool: DataFrame, count: int, seed: int, reserve: int = 8) -> DataFrame:
-    """(example_id, document_id, place): up to ``count`` documents of the pool for each example, none of its base.
+def distractors(base: DataFrame, pool: DataFrame, count: int, seed: int) -> DataFrame:
+    """(example_id, document_id, place): for each example the ``count`` documents of the pool, less its base, with the
+    smallest hash of seed, example and document.
 
-    ``base(example_id, document_id)``, ``pool(document_id)``. Instead of pairing every example with every
-    document, documents lie in buckets of about ``reserve * count`` by their own hash and an example opens
-    the bucket of its hash; there they are taken in the order of a hash of both. Work grows with what is
-    taken, not with the product of the tables.
+    ``base(example_id, document_id)`` are the examples of a stated query set, ``pool(document_id)`` is searched whole for each of
+    them: the hash is the example's own, so no order is shared. The join is filtered to ``count`` rows an example in each
+    task before anything is shuffled. A pool with fewer documents than asked for is an error.
     """
     documents = pool.select("document_id").where("document_id IS NOT NULL").distinct()
-    buckets = max(1, documents.count() // (reserve * count))
-    inside = documents.withColumn("bucket", bucket(F.col("document_id"), buckets))
-    examples = base.select("example_id").distinct().withColumn("bucket", bucket(F.concat_ws("|", F.lit(str(seed)), "example_id"), buckets))
-    near = examples.join(inside, "bucket").join(base, ["example_id", "document_id"], "left_anti")
+    examples = base.select("example_id").where("example_id IS NOT NULL").distinct()
+    own = base.groupBy("example_id").agg(F.collect_set("document_id").alias("own"))  # the documents of one example
+    pairs = documents.crossJoin(examples.join(own, "example_id")).where(~F.array_contains("own", F.col("document_id")))
     order = Window.partitionBy("example_id").orderBy(hash_key(seed, F.col("example_id"), F.col("document_id")), "document_id")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).select("example_id", "document_id", "place")
+    if count < 0:
+        raise ValueError("count can't be negative")
+    # documents besides the largest base: if they are enough, nothing needs to be counted pair by pair
+    room = documents.count() - (own.agg(F.max(F.size("own"))).first()[0] or 0)
+    if count > room:
+        enough = pairs.groupBy("example_id").agg(F.count("*").alias("n")).where(F.col("n") >= count).count()
+        if enough < examples.count():
+            raise ValueError(f"there are fewer than {count} documents besides the base of an example")
+    taken = pairs.select("example_id", "document_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
+    return taken.select("example_id", "document_id", "place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askmill.tables import cut
+
 #: Sums are taken over whole multiples of 2^-40, so that they don't depend on the order of their terms.
 UNIT = float(1 << 40)
 
@@ -19,6 +21,36 @@ def paired(values: DataFrame, pair: str, group: str, baseline: str, candidate: s
     return sides.select(pair, diff.alias("diff")).where("diff IS NOT NULL AND NOT isnan(diff)")
 
 
+def quantiles(values: DataFrame, by: str, value: str, levels: tuple[float, ...]) -> DataFrame:
+    """(by, n, q_0, q_1...): exact quantiles with linear interpolation between neighbours, one row for each ``by``.
+
+    Values are ranged over the cluster, numbered within each range and shifted by the counts of the ranges before, and only
+    the two values around each quantile are picked, so that no group's values lie in one task. Null and NaN
+    values don't count.
+    """
+    known = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(by, F.col(value).cast("double").alias("_v"))
+    ranged = cut(known.repartitionByRange(by, "_v").withColumn("_part", F.spark_partition_id()))
+    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part", by).orderBy("_v")))
+    sizes = ranged.groupBy("_part", F.col(by).alias("_by")).agg(F.count("*").alias("_size"))  # a few rows for each range
+    before = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", "_by", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy("_by")).alias("n"))
+    same = (numbered["_part"] == sizes["_part"]) & numbered[by].eqNullSafe(sizes["_by"])
+    placed = numbered.join(sizes, same).select(by, "n", "_v", (F.col("_n") + F.col("_before") - 1).alias("_at"))
+    spots = [(F.col("n") - 1) * F.lit(q) for q in levels]
+    wanted = [c for spot in spots for c in (F.floor(spot), F.ceil(spot))]
+    picked = placed.where(F.col("_at").isin(*wanted))
+
+    def at(spot):
+        return F.max(F.when(F.col("_at") == spot, F.col("_v")))
+
+    def between(q: float):
+        spot = (F.first("n") - 1) * F.lit(q)
+        low, high = at(F.floor((F.col("n") - 1) * F.lit(q))), at(F.ceil((F.col("n") - 1) * F.lit(q)))
+        return low + (high - low) * (spot - F.floor(spot))
+
+    return picked.groupBy(by).agg(F.first("n").alias("n"), *(between(q).alias(f"q_{k}") for k, q in enumerate(levels)))
+
+
 def cohens_dz(diffs: DataFrame) -> DataFrame:
     """(n, mean_diff, dz): mean over sample deviation; without dispersion 0 or plus or minus infinity."""
     mean, sd = F.avg("diff"), F.stddev_samp("diff")

@@ -88,11 +88,28 @@ def bm25_fts_variant_topk(spark, d):
 
 
 def bm25_candidate_topk(spark, d):
-    candidates = _paragraphs(spark, d).select(
-        F.col("example_id").alias("query_id"), "question", F.col("paragraph_index").alias("item"),
+    return lexical.top_k(lexical.candidate_bm25(_candidates(spark, d).drop("title")), 5, item="item")
+
+
+def _candidates(spark, d):
+    return _paragraphs(spark, d).select(
+        F.col("example_id").alias("query_id"), "question", F.col("paragraph_index").alias("item"), "title",
         T.paragraph_text(F.coalesce("sentences", F.array().cast("array<string>"))).alias("text"),
     )
-    return lexical.top_k(lexical.candidate_bm25(candidates), 5, item="item")
+
+
+def candidate_rerank_recall(spark, d):
+    """Recall of paragraphs and of facts when each example's own paragraphs are ranked, as means over the examples."""
+    candidates = _candidates(spark, d)
+    ranked = lexical.top_k(lexical.candidate_bm25(candidates), max(CUTOFFS), item="item")
+    named = ranked.join(candidates.select("query_id", "item", "title"), ["query_id", "item"])
+    ranking = named.where("title IS NOT NULL").groupBy(F.col("query_id").alias("example_id"), F.col("title").alias("document_id")).agg(F.min("rank").alias("rank"))
+    facts = _facts(spark, d).where("title IS NOT NULL").select("example_id", F.col("title").alias("document_id"))
+    per_paragraph = evalret.recall_at(evalret.gold_ranks(facts.distinct(), ranking), CUTOFFS)
+    per_fact = evalret.fact_recall_at(facts, ranking, CUTOFFS)
+    rows = per_paragraph.join(per_fact, "example_id")
+    means = [F.round(F.avg(f"{c}_{k}"), 9).alias(f"{c}_{k}") for k in CUTOFFS for c in ("recall_at", "fact_recall_at")]
+    return rows.agg(F.count("*").alias("n"), *means)
 
 
 # quality of rankings
@@ -163,9 +180,12 @@ def answer_macro(spark, d):
 
 
 def _evaluated(spark, d):
-    examples = _gold(spark, d).select("example_id", "answer", F.filter(F.transform("supporting_facts", lambda f: f.title), lambda t: t.isNotNull()).alias("facts"))
+    """Support is compared as (title, sentence_id): predicted are the first sentences of the two best documents."""
+    fact = "array<struct<title:string,sentence_id:int>>"
+    examples = _gold(spark, d).select("example_id", "answer", F.filter("supporting_facts", lambda f: f.isNotNull()).cast(fact).alias("facts"))
     answers = _latest_predictions(spark, d).where("run_name = 'reader_base'").select("example_id", F.coalesce("prediction", F.lit("")).alias("prediction"))
-    support = _ranking(spark, d).where("rank <= 2").groupBy("example_id").agg(F.collect_set("document_id").alias("predicted"))
+    first = F.struct(F.col("document_id").alias("title"), F.lit(0).alias("sentence_id"))
+    support = _ranking(spark, d).where("rank <= 2").groupBy("example_id").agg(F.collect_set(first).cast(fact).alias("predicted"))
     return qa.evaluate(examples, answers, support)
 
 
@@ -203,12 +223,18 @@ def _base(spark, d):
     return first.withColumn("place", F.row_number().over(order)).select("example_id", "document_id", "place")
 
 
+def _searched_base(spark, d):
+    """The base documents of the stated query set: examples of which a record has an id divisible by 50."""
+    asked = table(spark, d, "examples").where(f"record_id % {SEARCH_STEP} = 0").select(F.col("identifier").alias("example_id")).distinct()
+    return _base(spark, d).join(asked, "example_id", "left_semi")
+
+
 def distractors(spark, d):
-    return sampling.distractors(_base(spark, d).drop("place"), table(spark, d, "documents").select("document_id"), 2, 7)
+    return sampling.distractors(_searched_base(spark, d).drop("place"), table(spark, d, "documents").select("document_id"), 2, 7)
 
 
 def append_distractors(spark, d):
-    return prompts.append_distractors(_base(spark, d), distractors(spark, d))
+    return prompts.append_distractors(_searched_base(spark, d), distractors(spark, d))
 
 
 # joins and checks
@@ -252,10 +278,28 @@ def metric_compare_tol(spark, d):
 
 
 def ranking_equivalence(spark, d):
-    hits = table(spark, d, "retrieval").where("example_id IS NOT NULL").select("example_id", "shard_index", F.explode("retrieved").alias("h"))
-    hits = hits.select("example_id", "shard_index", "h.document_id").where("document_id IS NOT NULL").distinct()
-    even, odd = (hits.where(F.col("shard_index") % 2 == k).select("example_id", "document_id").distinct() for k in (0, 1))
-    return audit.set_difference(even, odd, ["example_id", "document_id"]).groupBy("side").agg(F.count("*").alias("n"))
+    """Ordered signatures (example, rank, document, score) of the rankings of even and of odd shards, with multiplicity."""
+    batches = table(spark, d, "retrieval")
+    even, odd = (evalret.rank_hits(batches.where(F.col("shard_index") % 2 == k), max(CUTOFFS)) for k in (0, 1))
+    both = even.select("example_id").distinct().join(odd.select("example_id").distinct(), "example_id")
+    even, odd = (r.join(both, "example_id", "left_semi").withColumn("score", F.round("score", 9)) for r in (even, odd))
+    return audit.set_difference(even, odd, ["example_id", "rank", "document_id", "score"]).groupBy("side").agg(F.count("*").alias("n"))
+
+
+def incomplete_rankings(spark, d):
+    queries = table(spark, d, "retrieval").where("example_id IS NOT NULL").select("example_id")
+    return audit.incomplete_rankings(queries, _ranking(spark, d), max(CUTOFFS))
+
+
+def revised_before_neighbour(spark, d):
+    """Documents whose revision is not after that of the document before, counted by day."""
+    rows = table(spark, d, "documents").where("revised_at IS NOT NULL").select("doc_id", "revised_at")
+    return audit.not_increasing(rows, "doc_id", "revised_at").groupBy(F.to_date("revised_at").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+def canonical_id_issues(spark, d):
+    rows = table(spark, d, "documents").where("title IS NOT NULL AND document_id IS NOT NULL")
+    return rows.where(F.col("document_id") != T.canonical_title("title")).select("doc_id", "document_id")
 
 
 def run_compare(spark, d):
@@ -267,7 +311,14 @@ def cross_input_duplicates(spark, d):
     return rows.where("splits > 1")
 
 
-def positional_compare(spark, d):
+def positional_join(spark, d):
+    """Two runs joined row by row, each in the order of its examples: rows whose examples differ or that stand alone."""
+    runs = [_latest_predictions(spark, d).where(F.col("run_name") == r).select("example_id") for r in ("reader_base", "reader_small")]
+    paired = audit.paired_by_position(*runs, "example_id", "example_id")
+    return audit.position_mismatches(paired).select("place", F.col("left").alias("left_id"), F.col("right").alias("right_id"))
+
+
+def extraction_compare(spark, d):
     rows = table(spark, d, "predictions")
     same = F.col("extraction.answer").eqNullSafe(F.col("prediction"))
     return rows.groupBy("run_name").agg(F.count("*").alias("n"), F.count_if(~same).alias("n_different"))
@@ -292,6 +343,29 @@ def shard_contiguity(spark, d):
     return audit.contiguity_issues(incremental.shard_ledger(audit.segments(ids, 128)))
 
 
+CHUNK = 48
+
+
+def _built_shards(spark, d):
+    """The documents in shards of 128, with the tokens that a reader of ``CHUNK`` tokens sees of each."""
+    numbered = sampling.ordinals(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    seen = prompts.first_chunk(T.tokens(F.coalesce("text", F.lit(""))), CHUNK)
+    rows = audit.segments(numbered, 128).select("shard_index", "rowid", "doc_id", seen.alias("seen"))
+    return rows.select("shard_index", "rowid", "doc_id", F.size("seen.chunk").cast("bigint").alias("tokens"), "seen.n_chunks", "seen.truncated")
+
+
+def shard_totals(spark, d):
+    return incremental.ledger_totals(incremental.full_ledger(_built_shards(spark, d)))
+
+
+def shard_bound_issues(spark, d):
+    return audit.bound_issues(incremental.full_ledger(_built_shards(spark, d)))
+
+
+def first_overflow_chunk(spark, d):
+    return _built_shards(spark, d).where("n_chunks > 1").select("doc_id", "tokens", "n_chunks")
+
+
 # vectors
 
 
@@ -326,10 +400,8 @@ def cohens_dz(spark, d):
 
 
 def quantile_p50_p95(spark, d):
-    rows = table(spark, d, "predictions").where("latency_seconds IS NOT NULL AND NOT isnan(latency_seconds)")
-    return rows.groupBy("run_name").agg(
-        F.count("*").alias("n"), F.round(F.percentile("latency_seconds", F.lit(0.5)), 9).alias("p50"), F.round(F.percentile("latency_seconds", F.lit(0.95)), 9).alias("p95")
-    )
+    found = stats.quantiles(table(spark, d, "predictions").select("run_name", "latency_seconds"), "run_name", "latency_seconds", (0.5, 0.95))
+    return found.select("run_name", "n", F.round("q_0", 9).alias("p50"), F.round("q_1", 9).alias("p95"))
 
 
 def signflip_exact(spark, d):
@@ -381,19 +453,74 @@ def final_answer_parse(spark, d):
     return rows.select("prediction_id", "e.answer", "e.status", "e.method")
 
 
+def short_answer_parse(spark, d):
+    rows = table(spark, d, "predictions").select("prediction_id", T.short_answer(F.coalesce("raw_output", F.lit(""))).alias("e"))
+    return rows.select("prediction_id", "e.answer", "e.status", "e.method")
+
+
+def explicit_reasoning(spark, d):
+    rows = table(spark, d, "predictions").select("run_name", T.explicit_reasoning(F.col("raw_output")).alias("r"))
+    return rows.groupBy("run_name").agg(F.count("*").alias("n"), F.count_if("r").alias("n_reasoned"))
+
+
 def reasoning_detect(spark, d):
+    rows = table(spark, d, "predictions").select("prediction_id", T.reasoning(F.col("raw_output")).alias("r"))
+    return rows.select("prediction_id", "r.present", "r.method", "r.content")
+
+
+def reasoning_methods(spark, d):
     rows = table(spark, d, "predictions").select("run_name", T.reasoning(F.col("raw_output")).alias("r"))
     return rows.groupBy("run_name", "r.method", "r.present").agg(F.count("*").alias("n"))
 
 
+def interface_gate(spark, d):
+    """Per run: whether every output parses, reasons, and none was exhausted or has a shortened prompt."""
+    rows = table(spark, d, "predictions").select(
+        "run_name", T.final_answer(F.col("raw_output")).alias("e"), T.reasoning(F.col("raw_output")).alias("r"), F.coalesce("budget_exhausted", F.lit(False)).alias("exhausted")
+    )
+    ok, present = F.col("e.status") == "ok", F.col("r.present")
+    return rows.groupBy("run_name").agg(
+        F.count_if(ok).alias("n_valid"), F.count_if(present).alias("n_reasoning"), F.count_if("exhausted").alias("n_exhausted"), F.bool_and(ok & present & ~F.col("exhausted")).alias("gate")
+    )
+
+
 def boxed_parse(spark, d):
-    rows = table(spark, d, "predictions").where("raw_output LIKE '%\\\\\\\\boxed{%'")
+    rows = table(spark, d, "predictions").where(F.contains("raw_output", F.lit("\\boxed{")))
     return rows.select("prediction_id", T.boxed_content(F.col("raw_output")).alias("content"))
 
 
 def serialize_context(spark, d):
     rows = _gold(spark, d).where("question IS NOT NULL AND context IS NOT NULL")
-    return rows.select("example_id", F.sha2(T.serialized_context(F.trim("question"), F.filter("context", lambda p: p.isNotNull())), 256).alias("prompt_sha256"))
+    return rows.select("example_id", F.sha2(T.serialized_context(F.col("question"), F.col("context")), 256).alias("prompt_sha256"))
+
+
+def instructed_query(spark, d):
+    rows = table(spark, d, "examples").where("trim(question) != ''")
+    return rows.select("record_id", F.sha2(T.instructed_query(F.col("question")), 256).alias("query_sha256"))
+
+
+PROMPT_BUDGET = 220
+
+
+def _demonstrations(spark, d):
+    """Two stated examples: the first by hash among those that have an answer and a fact in a paragraph."""
+    evidence = prompts.gold_paragraphs(F.col("context"), F.col("supporting_facts"))
+    usable = _gold(spark, d).where(F.col("answer").isNotNull() & F.col("question").isNotNull() & (F.size(evidence) > 0))
+    return usable.orderBy(sampling.hash_key(3, F.col("example_id")), "example_id").limit(2)
+
+
+def _prompts(spark, d, build):
+    targets = _gold(spark, d).where("example_id IS NOT NULL AND question IS NOT NULL").select("example_id", "question", "context")
+    made = build(targets, _demonstrations(spark, d), PROMPT_BUDGET)
+    return made.select("example_id", "input_tokens", "n_documents", "n_sentences", "dropped_documents", "dropped_sentences", "truncated", "status")
+
+
+def direct_prompts(spark, d):
+    return _prompts(spark, d, prompts.direct_prompts)
+
+
+def chat_prompts(spark, d):
+    return _prompts(spark, d, prompts.chat_prompts)
 
 
 def budget_truncation(spark, d):
@@ -431,13 +558,13 @@ def stream_term_counts(spark, d):
 
 
 NAMES = (
-    "tokenize_stats term_freq_top doc_freq_top bm25_corpus_topk bm25_fts_variant_topk bm25_candidate_topk ranking_top10 recall_at_k "
+    "tokenize_stats term_freq_top doc_freq_top bm25_corpus_topk bm25_fts_variant_topk bm25_candidate_topk candidate_rerank_recall ranking_top10 recall_at_k "
     "recall_macro fact_recall_at_k outcome_histogram rank_bins missing_gold_top20 recall_by_type_and_level nested_ranking retrieval_throughput "
     "answer_norm answer_f1 answer_macro evaluate_examples evaluate_macro hash_slice two_phase_slice systematic_sample distractors append_distractors "
-    "gold_semi_join anti_join_pool fact_sentence_join ref_range_issues record_violations ranking_violations metric_compare_tol ranking_equivalence "
-    "run_compare cross_input_duplicates positional_compare prompt_sha256 shard_ledger shard_contiguity dense_topk l2_normalise_mrl norm_error_check "
-    "cohens_dz quantile_p50_p95 reader_summary signflip_exact signflip_sampled bootstrap_hash paired_bootstrap_hash bootstrap_by_level final_answer_parse "
-    "reasoning_detect boxed_parse serialize_context budget_truncation example_seed compute_projection unicode_title stream_term_counts"
+    "gold_semi_join anti_join_pool fact_sentence_join ref_range_issues record_violations ranking_violations metric_compare_tol ranking_equivalence incomplete_rankings revised_before_neighbour canonical_id_issues "
+    "run_compare cross_input_duplicates positional_join extraction_compare prompt_sha256 shard_ledger shard_contiguity shard_totals shard_bound_issues first_overflow_chunk dense_topk l2_normalise_mrl norm_error_check "
+    "cohens_dz quantile_p50_p95 reader_summary signflip_exact signflip_sampled bootstrap_hash paired_bootstrap_hash bootstrap_by_level final_answer_parse short_answer_parse "
+    "explicit_reasoning reasoning_detect reasoning_methods interface_gate boxed_parse serialize_context instructed_query direct_prompts chat_prompts budget_truncation example_seed compute_projection unicode_title stream_term_counts"
 ).split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -111,13 +111,14 @@ SELECT (SELECT count(v) FROM vals) AS n, (SELECT round(avg(v), 9) FROM vals) AS
 _METRICS = ("em", "f1", "prec", "recall", "sp_em", "sp_f1", "sp_prec", "sp_recall", "joint_em", "joint_f1", "joint_prec", "joint_recall")
 _EVALUATED = (
     f"WITH {_GOLD}, {_RANKING}, {_LATEST}, "
-    + """base AS (SELECT example_id, answer, coalesce(list_filter(list_transform(supporting_facts, lambda f: f.title), lambda t: t IS NOT NULL), []) AS facts FROM g),
+    + """base AS (SELECT example_id, answer, list_transform(list_filter(coalesce(supporting_facts, []), lambda f: f IS NOT NULL),
+    lambda f: coalesce(f.title, chr(1)) || chr(0) || coalesce(f.sentence_id::VARCHAR, '')) AS facts FROM g),
 joined AS (
   SELECT b.example_id, b.answer, list_distinct(b.facts) AS gs, a.prediction AS prediction, a.example_id IS NULL AS missing_answer,
     s.titles IS NULL AS missing_support, coalesce(s.titles, []) AS ps
   FROM base b
   LEFT JOIN (SELECT example_id, coalesce(prediction, '') AS prediction FROM latest WHERE run_name = 'reader_base') a USING (example_id)
-  LEFT JOIN (SELECT example_id, list(DISTINCT document_id) AS titles FROM ranking WHERE rank <= 2 GROUP BY 1) s USING (example_id)), """
+  LEFT JOIN (SELECT example_id, list(DISTINCT document_id || chr(0) || '0') AS titles FROM ranking WHERE rank <= 2 GROUP BY 1) s USING (example_id)), """
     + _score("coalesce(prediction, '')", "coalesce(answer, '')", "joined", "*")
     + """, sup AS (
   SELECT *, len(list_intersect(ps, gs)) AS tp FROM scored),
@@ -131,16 +132,96 @@ evaluated AS (SELECT *, CASE WHEN joint_prec + joint_recall > 0 THEN 2 * joint_p
 
 _BASE = """titles AS (SELECT example_id, title AS document_id, min(paragraph_index) AS first_at FROM paragraphs WHERE title IS NOT NULL GROUP BY 1, 2),
 base AS (SELECT example_id, document_id, row_number() OVER (PARTITION BY example_id ORDER BY first_at)::INT AS place FROM titles)"""
-_DISTRACTORS = f"""pool AS (SELECT DISTINCT document_id FROM documents WHERE document_id IS NOT NULL),
-size AS (SELECT greatest(1, count(*) // 16) AS buckets FROM pool),
-near AS (
-  SELECT e.example_id, p.document_id FROM (SELECT DISTINCT example_id FROM base) e, size, pool p
-  WHERE {_bits("md5(p.document_id)", 8)} % buckets = {_bits("md5('7|' || e.example_id)", 8)} % buckets
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.example_id = e.example_id AND b.document_id = p.document_id)),
+_ASKED = "asked AS (SELECT DISTINCT identifier AS example_id FROM examples WHERE record_id % 50 = 0)"
+_SEARCHED = f"""{_ASKED}, searched AS (SELECT b.* FROM base b SEMI JOIN asked USING (example_id))"""
+_DISTRACTORS = """pool AS (SELECT DISTINCT document_id FROM documents WHERE document_id IS NOT NULL),
 extra AS (SELECT * FROM (
-  SELECT example_id, document_id, row_number() OVER (PARTITION BY example_id ORDER BY sha256('7|' || example_id || '|' || document_id), document_id)::INT AS place FROM near)
+  SELECT e.example_id, p.document_id,
+    row_number() OVER (PARTITION BY e.example_id ORDER BY sha256('7' || chr(0) || e.example_id || chr(0) || p.document_id), p.document_id)::INT AS place
+  FROM (SELECT DISTINCT example_id FROM searched) e, pool p
+  WHERE NOT EXISTS (SELECT 1 FROM searched b WHERE b.example_id = e.example_id AND b.document_id = p.document_id))
   WHERE place <= 2)"""
 
+_WS = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _bare(x: str) -> str:
+    return _strip(f"trim({_strip(x)}, '$')")
+
+
+def _unwrap(x: str, command: str) -> str:
+    return f"CASE WHEN starts_with({x}, '{command}{{') AND ends_with({x}, '}}') THEN {_strip(f'{x}[{len(command) + 2}:-2]')} ELSE {x} END"
+
+
+_KEPT = "string_split(string_split({0}, '<|im_end|>')[1], '<|endoftext|>')[1]"
+_LINES = r"'\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'"
+_CONTROL = "regexp_replace(regexp_replace({0}, '<\\|[^>]+\\|>', ' ', 'g'), '</?think>', ' ', 'g')"
+_ANSWER_START = rf"(?im)^{_WS}*(?:final{_WS}+)?answer{_WS}*:"
+_DEPTH = "1 + (len(left(a, i::INT)) - len(replace(left(a, i::INT), '{', ''))) - (len(left(a, i::INT)) - len(replace(left(a, i::INT), '}', '')))"
+
+
+def _boxed(x: str) -> str:
+    """The CTE columns b (content of the first box of column x, or null)."""
+    after = f"CASE WHEN contains({x}, '\\boxed{{') THEN substr({x}, instr({x}, '\\boxed{{') + 7) END"
+    return f"""(SELECT {_strip("left(a, (list_filter(range(1, len(a) + 1), lambda i: " + _DEPTH + " = 0)[1] - 1)::INT)")} FROM (SELECT {after} AS a))"""
+
+
+def _words_in(x: str) -> str:
+    return f"len(list_filter(string_split_regex({x}, '{_WS}+'), lambda w: w <> ''))"
+
+
+_EVIDENCE = f"""list_transform(list_filter(context, lambda p: p IS NOT NULL), lambda p, i: '[Document ' || i || '] ' || coalesce(p.title, '') || chr(10) ||
+    coalesce(array_to_string(list_transform(p.sentences, lambda s, j: '(' || (j - 1) || ') ' || {_strip("coalesce(s, '')")} || chr(10)), ''), ''))"""
+
+
+def _serialized(question: str, evidence: str) -> str:
+    whole = f"'Question: ' || {_strip(question)} || chr(10) || chr(10) || 'Evidence:' || chr(10) || array_to_string({evidence}, chr(10))"
+    return f"regexp_replace({whole}, '{_WS}+$', '')"
+
+
+_PROMPTED = f"""u AS (SELECT *, list_filter(context, lambda p: coalesce(list_contains(list_transform(supporting_facts, lambda f: f.title), p.title), false)) AS e FROM g),
+demo AS (SELECT *, row_number() OVER (ORDER BY example_id) AS nth FROM (
+  SELECT example_id, question, answer, e AS context FROM u WHERE answer IS NOT NULL AND question IS NOT NULL AND len(e) > 0
+  ORDER BY sha256('3' || chr(0) || example_id), example_id LIMIT 2)),
+shown AS (SELECT nth, {_serialized("question", _EVIDENCE)} AS q, 'Answer: ' || answer AS a FROM demo),
+target AS (SELECT example_id, question, list_transform(list_filter(coalesce(context, []), lambda p: p IS NOT NULL),
+  lambda p: struct_pack(title := p.title, sentences := list_filter(coalesce(p.sentences, []), lambda s: s IS NOT NULL))) AS context FROM g
+  WHERE example_id IS NOT NULL AND question IS NOT NULL)"""
+
+
+def _prompt_counts(before: str, around: str, budget: int) -> str:
+    """What fits a budget of words, by running sums: the words of a prompt add up."""
+    return f"""WITH {_GOLD}, {_PROMPTED},
+fixed AS (SELECT {before} AS texts FROM shown),
+sized AS (SELECT example_id, question, context, (SELECT {_words_in("texts")} FROM fixed) + {_words_in("'Question: ' || question || ' Evidence: ' || " + around)} AS base,
+  coalesce(list_sum(list_transform(context, lambda p: len(p.sentences))), 0)::INT AS total, {_words_in("array_to_string(" + _EVIDENCE + ", ' ')")} AS evidence FROM target),
+sent AS (SELECT example_id, base, p_no, s_no, {_words_in("'(0) ' || context[p_no].sentences[s_no]")} +
+    CASE WHEN s_no = 1 THEN {_words_in("'[Document 1] ' || coalesce(context[p_no].title, '')")} ELSE 0 END AS cost
+  FROM (SELECT *, unnest(range(1, len(context[p_no].sentences) + 1)) AS s_no FROM (SELECT *, unnest(range(1, len(context) + 1)) AS p_no FROM sized))),
+run AS (SELECT *, base + sum(cost) OVER (PARTITION BY example_id ORDER BY p_no, s_no) AS words FROM sent),
+fit AS (SELECT example_id, count(*) AS kept, count(DISTINCT p_no) AS docs, max(words) AS words FROM run WHERE words <= {budget} GROUP BY 1),
+j AS (SELECT z.*, base + evidence <= {budget} AS whole, coalesce(f.kept, 0) AS kept, coalesce(f.docs, 0) AS docs, f.words AS fwords FROM sized z LEFT JOIN fit f USING (example_id)),
+r AS (SELECT *, CASE WHEN len(context) = 0 THEN 'no_evidence' WHEN NOT whole AND kept = 0 THEN 'no_sentence_fits' ELSE 'ok' END AS status FROM j)
+SELECT example_id, CASE WHEN status <> 'ok' THEN NULL WHEN whole THEN base + evidence ELSE fwords END::INT AS input_tokens,
+  CASE WHEN status <> 'ok' THEN NULL WHEN whole THEN len(context) ELSE docs END::INT AS n_documents, CASE WHEN status <> 'ok' THEN NULL WHEN whole THEN total ELSE kept END::INT AS n_sentences,
+  CASE WHEN status <> 'ok' THEN NULL WHEN whole THEN 0 ELSE len(context) - docs END::INT AS dropped_documents,
+  CASE WHEN status <> 'ok' THEN NULL WHEN whole THEN 0 ELSE total - kept END::INT AS dropped_sentences,
+  CASE WHEN status = 'ok' THEN NOT whole END AS truncated, status FROM r"""
+
+
+_DIRECT = (
+    "'<|im_start|><|object_ref_start|>Answer each question using only its evidence. Return only the shortest answer after \"Answer:\". ' || "
+    "string_agg(q || ' ' || a, ' ')"
+)
+_CHAT = (
+    "'<|im_start|>system Use only the provided evidence. Reason briefly and explicitly. End with exactly one final line in the form \"Answer: <shortest answer>\".<|im_end|> ' || "
+    "string_agg('<|im_start|>user ' || q || '<|im_end|> <|im_start|>assistant ' || a || '<|im_end|>', ' ') || ' <|im_start|>user'"
+)
+
 _FLIP_SUM = "round(diff * 1099511627776)::BIGINT"
 
 SQL = {
@@ -194,13 +275,13 @@ UNION ALL SELECT 'level', level, count(*), round(avg(recall_at_10), 9) FROM j GR
     + " SELECT count(*) AS n, count(*) FILTER (missing_answer) AS missing_answers, count(*) FILTER (missing_support) AS missing_support, "
     + ", ".join(f"round(avg({m}), 9) AS {m}" for m in _METRICS)
     + " FROM evaluated",
-    "hash_slice": "SELECT record_id, identifier FROM examples ORDER BY sha256('13|' || record_id), record_id LIMIT 100",
-    "two_phase_slice": "SELECT record_id, identifier FROM examples WHERE split_name IN ('train', 'validation', 'test') ORDER BY sha256('13|' || record_id), record_id LIMIT 100",
+    "hash_slice": "SELECT record_id, identifier FROM examples ORDER BY sha256('13' || chr(0) || record_id), record_id LIMIT 100",
+    "two_phase_slice": "SELECT record_id, identifier FROM examples WHERE split_name IN ('train', 'validation', 'test') ORDER BY sha256('13' || chr(0) || record_id), record_id LIMIT 100",
     "systematic_sample": """WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rowid, count(*) OVER () AS total FROM documents)
 SELECT rowid, doc_id FROM n WHERE rowid IN (SELECT i * total // 100 + 1 FROM range(100) r(i), (SELECT count(*) AS total FROM documents))""",
-    "distractors": f"WITH {_GOLD}, {_PARAGRAPHS}, {_BASE}, {_DISTRACTORS} SELECT example_id, document_id, place FROM extra",
-    "append_distractors": f"""WITH {_GOLD}, {_PARAGRAPHS}, {_BASE}, {_DISTRACTORS},
-both_ AS (SELECT example_id, place AS first_at, document_id, false AS distractor FROM base UNION ALL SELECT example_id, place, document_id, true FROM extra)
+    "distractors": f"WITH {_GOLD}, {_PARAGRAPHS}, {_BASE}, {_SEARCHED}, {_DISTRACTORS} SELECT example_id, document_id, place FROM extra",
+    "append_distractors": f"""WITH {_GOLD}, {_PARAGRAPHS}, {_BASE}, {_SEARCHED}, {_DISTRACTORS},
+both_ AS (SELECT example_id, place AS first_at, document_id, false AS distractor FROM searched UNION ALL SELECT example_id, place, document_id, true FROM extra)
 SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY distractor, first_at)::INT AS place, document_id, distractor FROM both_""",
     "gold_semi_join": f"""WITH {_GOLD}, kept AS (
   SELECT example_id, CASE WHEN context IS NULL OR supporting_facts IS NULL THEN NULL ELSE
@@ -236,22 +317,57 @@ SELECT batch_id, rule, count(*) AS n FROM v GROUP BY 1, 2""",
     + _score("coalesce(prediction, '')", "gold_answer", "answered", "answer_score")
     + """, f AS (SELECT 'em' AS field, answer_score.exact_match AS a, em AS b FROM scored UNION ALL SELECT 'f1', answer_score.f1, f1 FROM scored)
 SELECT field, count(*) AS n_different FROM f WHERE NOT coalesce(abs(a - b) <= 1e-9, a IS NULL AND b IS NULL) GROUP BY 1""",
-    "ranking_equivalence": """WITH h AS (SELECT example_id, shard_index, unnest(retrieved) AS h FROM retrieval WHERE example_id IS NOT NULL),
-d AS (SELECT DISTINCT example_id, shard_index % 2 AS side, h.document_id AS document_id FROM h WHERE h.document_id IS NOT NULL),
-a AS (SELECT example_id, document_id FROM d WHERE side = 0), b AS (SELECT example_id, document_id FROM d WHERE side = 1)
-SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) HAVING count(*) > 0
-UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) HAVING count(*) > 0""",
+    "candidate_rerank_recall": f"""
+WITH {_GOLD}, {_PARAGRAPHS}, {_FACTS},
+c AS (SELECT example_id AS query_id, paragraph_index AS item, title, list_distinct({_words("question")}) AS q,
+  {_words("trim(array_to_string(coalesce(sentences, []), ''))")} AS w FROM paragraphs),
+sized AS (SELECT *, len(w) AS dl, count(*) OVER (PARTITION BY query_id) AS n, avg(len(w)) OVER (PARTITION BY query_id) AS avgdl FROM c),
+tf AS (SELECT *, len(list_filter(w, lambda x: x = term)) AS tf FROM (SELECT query_id, item, dl, n, avgdl, w, unnest(q) AS term FROM sized)),
+hits AS (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS df FROM tf WHERE tf > 0),
+s AS (SELECT query_id, item, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (CASE WHEN avgdl > 0 THEN 0.25 + 0.75 * dl / avgdl ELSE 0.25 END))) AS score FROM hits GROUP BY 1, 2),
+a AS (SELECT c.query_id, c.item, c.title, coalesce(s.score, 0.0) AS score FROM c LEFT JOIN s USING (query_id, item)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM a),
+t AS (SELECT query_id AS example_id, title, min(rank) AS rank FROM k WHERE title IS NOT NULL AND rank <= 10 GROUP BY 1, 2),
+f AS (SELECT example_id, title FROM facts WHERE title IS NOT NULL),
+per_fact AS (SELECT example_id, {", ".join(f"count(*) FILTER (rank <= {k}) / count(*) AS f_{k}" for k in (1, 2, 5, 10))} FROM f LEFT JOIN t USING (example_id, title) GROUP BY 1),
+per_title AS (SELECT example_id, {", ".join(f"count(*) FILTER (rank <= {k}) / count(*) AS r_{k}" for k in (1, 2, 5, 10))} FROM (SELECT DISTINCT * FROM f) LEFT JOIN t USING (example_id, title) GROUP BY 1)
+SELECT count(*) AS n, {", ".join(f"round(avg(r_{k}), 9) AS recall_at_{k}, round(avg(f_{k}), 9) AS fact_recall_at_{k}" for k in (1, 2, 5, 10))} FROM per_fact JOIN per_title USING (example_id)""",
+    "ranking_equivalence": """WITH h AS (SELECT example_id, shard_index % 2 AS side, unnest(retrieved) AS h FROM retrieval WHERE example_id IS NOT NULL),
+best AS (SELECT side, example_id, h.document_id AS document_id, max(h.score) AS score FROM h
+  WHERE h.document_id IS NOT NULL AND h.score IS NOT NULL AND isfinite(h.score) GROUP BY 1, 2, 3),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, example_id ORDER BY score DESC, document_id) AS rank FROM best) WHERE rank <= 10),
+e AS (SELECT side, example_id, rank, document_id, round(score, 9) AS score FROM r
+  WHERE example_id IN (SELECT example_id FROM r WHERE side = 0) AND example_id IN (SELECT example_id FROM r WHERE side = 1)),
+a AS (SELECT * EXCLUDE side FROM e WHERE side = 0), b AS (SELECT * EXCLUDE side FROM e WHERE side = 1)
+SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) HAVING count(*) > 0
+UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) HAVING count(*) > 0""",
+    "incomplete_rankings": f"""WITH {_RANKING}, q AS (SELECT DISTINCT example_id FROM retrieval WHERE example_id IS NOT NULL)
+SELECT q.example_id, count(rank) AS n FROM q LEFT JOIN ranking r USING (example_id) GROUP BY 1 HAVING count(rank) <> 10""",
+    "revised_before_neighbour": """WITH d AS (SELECT revised_at, lag(revised_at) OVER (ORDER BY doc_id) AS before, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE revised_at IS NOT NULL)
+SELECT strftime(revised_at, '%Y-%m-%d') AS day, count(*) AS n FROM d WHERE place > 1 AND revised_at <= before GROUP BY 1""",
     "run_compare": f"""WITH {_LATEST} SELECT count(*) AS pairs, count(*) FILTER (a.prompt IS NOT DISTINCT FROM b.prompt) AS same_prompt,
   count(*) FILTER (a.raw_output IS NOT DISTINCT FROM b.raw_output) AS same_output, count(*) FILTER (a.prediction IS NOT DISTINCT FROM b.prediction) AS same_answer
 FROM (SELECT * FROM latest WHERE run_name = 'reader_base') a JOIN (SELECT * FROM latest WHERE run_name = 'reader_small') b USING (example_id)""",
     "cross_input_duplicates": "SELECT identifier, count(DISTINCT split_name) AS splits, count(*) AS n FROM examples GROUP BY 1 HAVING splits > 1",
-    "positional_compare": "SELECT run_name, count(*) AS n, count(*) FILTER (extraction.answer IS DISTINCT FROM prediction) AS n_different FROM predictions GROUP BY 1",
+    "positional_join": f"""WITH {_LATEST},
+a AS (SELECT row_number() OVER (ORDER BY example_id) AS place, example_id AS left_id FROM latest WHERE run_name = 'reader_base'),
+b AS (SELECT row_number() OVER (ORDER BY example_id) AS place, example_id AS right_id FROM latest WHERE run_name = 'reader_small')
+SELECT place, left_id, right_id FROM a FULL JOIN b USING (place) WHERE left_id IS DISTINCT FROM right_id""",
+    "extraction_compare": "SELECT run_name, count(*) AS n, count(*) FILTER (extraction.answer IS DISTINCT FROM prediction) AS n_different FROM predictions GROUP BY 1",
     "prompt_sha256": "SELECT run_name, count(*) AS n, count(*) FILTER (sha256(prompt) = prompt_sha256) AS n_equal FROM predictions WHERE prompt IS NOT NULL GROUP BY 1",
     "shard_ledger": """WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) AS rowid FROM documents)
 SELECT (rowid - 1) // 128 AS shard_index, min(rowid) AS start_rowid, max(rowid) AS end_rowid, count(*) AS document_count FROM n GROUP BY 1""",
     "shard_contiguity": """WITH l AS (SELECT (doc_id - 1) // 128 AS shard_index, min(doc_id) AS start_rowid, max(doc_id) AS end_rowid, count(*) AS document_count FROM documents GROUP BY 1),
 e AS (SELECT *, lag(end_rowid, 1, 0) OVER (ORDER BY shard_index) + 1 AS expected FROM l)
 SELECT * FROM e WHERE start_rowid <> expected OR end_rowid - start_rowid + 1 <> document_count""",
+    "shard_totals": f"""WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) AS rowid, len({_words("coalesce(text, chr(32))")}) AS t FROM documents)
+SELECT count(DISTINCT (rowid - 1) // 128) AS shard_count, count(*)::BIGINT AS document_count, sum(least(t, 48))::BIGINT AS tokens_processed,
+  count(*) FILTER (t > 48)::BIGINT AS truncated_documents, 0.0::DOUBLE AS max_norm_error FROM n""",
+    "shard_bound_issues": f"""WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) AS rowid, len({_words("coalesce(text, chr(32))")}) AS t FROM documents),
+l AS (SELECT (rowid - 1) // 128 AS shard_index, count(*) AS docs, sum(least(t, 48)) AS tokens FROM n GROUP BY 1)
+SELECT shard_index, 'tokens' AS rule FROM l WHERE tokens < docs""",
+    "first_overflow_chunk": f"""WITH n AS (SELECT doc_id, len({_words("text")}) AS t FROM documents)
+SELECT doc_id, 48::BIGINT AS tokens, ceil(t / 48)::INT AS n_chunks FROM n WHERE t > 48""",
     "dense_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) + 0.0 AS score FROM v q, v WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
@@ -281,12 +397,30 @@ SELECT n, round(o::DOUBLE / 1099511627776 / n, 9) AS observed, count(*) FILTER (
   round(avg(latency_seconds), 9) AS mean_latency, min(latency_seconds) AS least_latency, max(latency_seconds) AS most_latency,
   count(*) FILTER (budget_exhausted) AS n_exhausted, count(*) FILTER (extraction.status = 'ok') AS n_ok,
   bool_and(coalesce(extraction.status = 'ok', false) AND NOT coalesce(budget_exhausted, false)) AS gate FROM predictions GROUP BY 1""",
-    "final_answer_parse": r"""WITH k AS (SELECT prediction_id, trim(string_split_regex(raw_output, '<\|(?:im_end|endoftext|end)\|>')[1]) AS kept FROM predictions),
-l AS (SELECT *, regexp_extract_all(kept, '(?im)^[ \t]*(?:final[ \t]+)?answer[ \t]*:\s*(.*)$', 1) AS lines FROM k),
-u AS (SELECT *, trim(regexp_replace(trim(lines[-1]), '(?s)^\$?\s*\\boxed\{(.*)\}\s*\$?$', '\1')) AS u FROM l),
-v AS (SELECT *, CASE WHEN regexp_matches(u, '^\$\s*\$$') THEN '' ELSE u END AS a FROM u),
-s AS (SELECT *, CASE WHEN coalesce(kept, '') = '' THEN 'empty' WHEN len(lines) = 0 THEN 'missing_final_answer' WHEN a = '' THEN 'empty_final_answer' ELSE 'ok' END AS status FROM v)
-SELECT prediction_id, CASE WHEN status = 'ok' THEN a END AS answer, status, CASE WHEN len(lines) > 0 THEN 'last_answer_line' ELSE 'none' END AS method FROM s""",
+    "final_answer_parse": rf"""WITH k AS (SELECT prediction_id, {_strip(_KEPT.format("raw_output"))} AS kept FROM predictions),
+l AS (SELECT *, regexp_extract_all(kept, '(?im)^{_WS}*(?:final{_WS}+)?answer{_WS}*:{_WS}*(.+?){_WS}*$', 1) AS lines FROM k),
+u AS (SELECT *, {_bare("lines[-1]")} AS u FROM l), v AS (SELECT *, {_unwrap("u", chr(92) + "boxed")} AS v FROM u), w AS (SELECT *, {_unwrap("v", chr(92) + "text")} AS a FROM v),
+s AS (SELECT *, CASE WHEN coalesce(kept, '') = '' THEN 'empty' WHEN len(lines) = 0 THEN 'missing_final_answer' WHEN a = '' THEN 'empty_final_answer' ELSE 'ok' END AS status FROM w)
+SELECT prediction_id, CASE WHEN status = 'ok' THEN a END AS answer, status,
+  CASE status WHEN 'ok' THEN 'last_answer_line' WHEN 'empty_final_answer' THEN 'answer_line' ELSE 'none' END AS method FROM s""",
+    "short_answer_parse": rf"""WITH k AS (SELECT prediction_id, {_strip(_KEPT.format("string_split(coalesce(raw_output, ''), '<|box_end|>')[1]"))} AS kept FROM predictions),
+b AS (SELECT *, {_bare(_boxed("kept"))} AS v FROM k),
+c AS (SELECT *, CASE WHEN starts_with(v, '\text{{') THEN {_unwrap("v", chr(92) + "text")} WHEN starts_with(v, '\mathrm{{') THEN {_unwrap("v", chr(92) + "mathrm")} ELSE {_unwrap("v", chr(92) + "operatorname")} END AS boxed,
+  list_filter(list_transform(string_split_regex(kept, {_LINES}), lambda x: {_strip("x")}), lambda x: x <> '')[1] AS line FROM b),
+d AS (SELECT *, {_bare(f"regexp_replace(coalesce(line, ''), '(?i)^(?:final )?answer:{_WS}*', '')")} AS first FROM c),
+e AS (SELECT prediction_id, coalesce(boxed <> '', false) AS in_box, CASE WHEN coalesce(boxed <> '', false) THEN boxed ELSE nullif(first, '') END AS answer FROM d)
+SELECT prediction_id, answer, CASE WHEN answer IS NULL THEN 'empty' ELSE 'ok' END AS status,
+  CASE WHEN answer IS NULL THEN 'none' WHEN in_box THEN 'latex_boxed' ELSE 'first_line' END AS method FROM e""",
+    "explicit_reasoning": rf"""WITH r AS (SELECT run_name, len(list_filter(list_transform(string_split_regex({_KEPT.format("raw_output")}, {_LINES}), lambda x: {_strip("x")}),
+  lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(?:final{_WS}+)?answer{_WS}*:'))) > 0 AS r FROM predictions)
+SELECT run_name, count(*) AS n, count(*) FILTER (coalesce(r, false)) AS n_reasoned FROM r GROUP BY 1""",
+    "reasoning_detect": "@reasoning@ SELECT prediction_id, content <> '' AS present, method, content FROM s",
+    "reasoning_methods": "@reasoning@ SELECT run_name, method, content <> '' AS present, count(*) AS n FROM s GROUP BY ALL",
+    "interface_gate": "@gate@",
+    "boxed_parse": rf"""SELECT prediction_id, {_boxed("raw_output")} AS content FROM predictions WHERE contains(raw_output, '\boxed{{')""",
+    "serialize_context": f"""WITH {_GOLD} SELECT example_id, sha256({_serialized("question", _EVIDENCE)} || chr(10)) AS prompt_sha256 FROM g WHERE question IS NOT NULL AND context IS NOT NULL""",
+    "instructed_query": """SELECT record_id, sha256('Instruct: Given a web search query, retrieve relevant passages that answer the query' || chr(10) || 'Query:' || question) AS query_sha256
+FROM examples WHERE trim(question) <> ''""",
     "compute_projection": """WITH r AS (SELECT run_name, count(*) AS n, sum(latency_seconds) AS s FROM predictions WHERE latency_seconds > 0 GROUP BY 1)
 SELECT run_name, round(n / s, 6) AS rate, floor(5233235 / (n / s) * 1.25 / 3600 + 0.999999999)::BIGINT AS hours FROM r""",
     "example_seed": "SELECT DISTINCT identifier, (('0x' || substr(sha256('42' || chr(0) || identifier), 1, 16))::UBIGINT)::VARCHAR AS seed FROM examples WHERE identifier IS NOT NULL",
@@ -296,3 +430,19 @@ r AS (SELECT *, sum(cost) OVER (PARTITION BY example_id ORDER BY paragraph_index
 SELECT example_id, count(*) AS n_sentences, count(*) FILTER (running <= 60) AS n_kept, coalesce(max(running) FILTER (running <= 60), 0)::BIGINT AS cost,
   count(*) FILTER (running <= 60) < count(*) AS truncated FROM r GROUP BY 1""",
 }
+
+_REASONING = f"""WITH k AS (SELECT prediction_id, run_name, raw_output, budget_exhausted, coalesce({_KEPT.format("raw_output")}, '') AS t FROM predictions),
+m AS (SELECT *, CASE WHEN contains(t, '</think>') THEN 'closed_think_block' WHEN contains(t, '<think>') THEN 'unclosed_think_block' ELSE 'pre_answer_text' END AS method FROM k),
+c AS (SELECT *, CASE method WHEN 'closed_think_block' THEN string_split(string_split(t, '</think>')[1], '<think>')[-1]
+  WHEN 'unclosed_think_block' THEN string_split(t, '<think>')[-1]
+  ELSE string_split_regex(t, '{_ANSWER_START}')[1] END AS c FROM m),
+s AS (SELECT * EXCLUDE c, {_strip("regexp_replace(" + _CONTROL.format("c") + f", '{_WS}+', ' ', 'g')")} AS content FROM c)"""
+for _name in ("reasoning_detect", "reasoning_methods"):
+    SQL[_name] = SQL[_name].replace("@reasoning@", _REASONING)
+SQL["interface_gate"] = (
+    _REASONING
+    + f""", f AS ({SQL["final_answer_parse"]}), j AS (SELECT s.run_name, f.status = 'ok' AS ok, s.content <> '' AS present, coalesce(s.budget_exhausted, false) AS exhausted FROM s JOIN f USING (prediction_id))
+SELECT run_name, count(*) FILTER (ok) AS n_valid, count(*) FILTER (present) AS n_reasoning, count(*) FILTER (exhausted) AS n_exhausted, bool_and(ok AND present AND NOT exhausted) AS gate FROM j GROUP BY 1"""
+)
+SQL["direct_prompts"] = _prompt_counts(_DIRECT, "'Answer:<|im_end|>'", 220)
+SQL["chat_prompts"] = _prompt_counts(_CHAT, "'<|im_end|> <|im_start|>assistant'", 220)

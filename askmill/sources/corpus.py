@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import bz2
+import os
+import re
 import tarfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -52,7 +56,8 @@ class _ArchiveReader(DataSourceReader):
         return [_Archive(p) for p in self.paths]
 
     def read(self, partition: _Archive):
-        with tarfile.open(partition.path, "r|*") as archive:
+        files, path = FileSystem.from_uri(partition.path if "://" in partition.path else os.path.abspath(partition.path))
+        with files.open_input_stream(path, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as archive:
             for member in archive:
                 if not member.isfile():
                     continue
@@ -79,15 +84,34 @@ class ArchiveLines(DataSource):
         return _ArchiveReader(self.options)
 
 
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source, line, value) of text files, lines counted from 1 in each file.
+
+    A file may be read in several blocks: lines are numbered within each and shifted by the counts of the blocks before.
+    """
+    rows = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    blocks = rows.groupBy("source", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    blocks = blocks.select("source", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(blocks, ["source", "block"]).select("source", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
 def corpus_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source, line, value) of tar archives, or (source, value) lines of plain or compressed JSON-lines files.
+    """(source, line, value) of JSON-lines files, plain or compressed, and of tar archives of such files; both may be mixed.
 
-    Blank lines are left out.
+    Blank lines are left out but counted.
     """
-    if all(".tar" in p for p in paths):
+    archives = [p for p in paths if re.search(r"\.tar(\.\w+)?$|\.tgz$", p)]
+    plain = [p for p in paths if p not in archives]
+    parts = []
+    if archives:
         spark.dataSource.register(ArchiveLines)
-        return spark.read.format("archive_lines").option("paths", "\n".join(paths)).load()
-    return spark.read.text(paths).select(F.input_file_name().alias("source"), F.lit(None).cast("long").alias("line"), "value").where(F.trim("value") != "")
+        parts.append(spark.read.format("archive_lines").option("paths", "\n".join(archives)).load())
+    if plain:
+        parts.append(numbered_lines(spark, plain).where(F.trim("value") != ""))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def documents_of(lines: DataFrame) -> DataFrame:
@@ -121,3 +145,15 @@ def kept_and_quarantined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_ids(documents: DataFrame) -> DataFrame:
     """(document_id, n) of canonical titles that stand for several documents."""
     return documents.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def log_fields(lines: DataFrame, pattern: str, names: list[str]) -> DataFrame:
+    """(source, line, names...): the groups of a pattern in each line of a text log that has it as a whole, in the lines' order."""
+    found = lines.where(F.col("value").rlike(pattern))
+    return found.select("source", "line", *(F.regexp_extract("value", pattern, k + 1).alias(n) for k, n in enumerate(names)))
+
+
+#: The lines of a run's log.
+PROGRESS_LINE = r"^progress=.* examples=\d+/\d+ example_id=(\S+) status=complete "
+ENVIRONMENT_LINE = r"^environment_ok torch=(\S+) transformers=(\S+) gpu=(.+)$"
+MODEL_LINE = r"^stage=model_ready model=(\S+) load_seconds=([0-9.]+) parameters=(\d+)$"

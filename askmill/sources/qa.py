@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,3 +79,27 @@ def all_records(gold: DataFrame, gold_raw: DataFrame) -> DataFrame:
     """The nested records of both deliveries in one shape."""
     names = [f.name for f in RECORD.fields]
     return gold.select(*names).unionByName(parse_records(gold_raw).select(*names))
+
+
+def load_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a Parquet table in the nested shape, or of JSON: a top-level list or one record a line, in either layout."""
+    if path.lower().rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path).select(*(f.name for f in RECORD.fields))
+    texts = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("payload"))
+    lists = texts.where(F.startswith("payload", F.lit("[")))
+    each = lists.select(F.explode(F.from_json("payload", "array<variant>")).alias("v")).select(F.to_json("v").alias("payload"))
+    lines = spark.read.text(path).select(F.trim("value").alias("payload")).where(F.startswith("payload", F.lit("{")) & F.endswith("payload", F.lit("}")))
+    return parse_records(lines.unionByName(each) if lists.isEmpty() else each)
+
+
+def load_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(example_id, prediction) and (example_id, predicted) of a prediction file {"answer": {...}, "sp": {...}}.
+
+    ``predicted`` is an array of struct(title, sentence_id). A file without both members is an error.
+    """
+    raw = spark.read.schema("answer map<string,string>, sp map<string,array<array<string>>>").option("multiLine", True).json(path)
+    if raw.where("answer IS NULL OR sp IS NULL").limit(1).count() or raw.isEmpty():
+        raise ValueError(f"{path}: a prediction file has the members answer and sp")
+    facts = F.transform("facts", lambda f: F.struct(F.get(f, F.lit(0)).alias("title"), F.get(f, F.lit(1)).try_cast("int").alias("sentence_id")))
+    answers = raw.select(F.explode("answer").alias("example_id", "prediction"))
+    return answers, raw.select(F.explode("sp").alias("example_id", "facts")).select("example_id", facts.alias("predicted"))

@@ -40,15 +40,19 @@ def test_answer_score(spark, p, g, expected):
     assert tuple(got) == pytest.approx(expected)
 
 
-def test_support_and_joint(spark):
-    df = spark.createDataFrame([(["A", "C"], ["A", "B"])], "p array<string>, g array<string>")
-    assert tuple(df.select(qa.support_score(F.col("p"), F.col("g")).alias("s")).first().s) == pytest.approx((0, 0.5, 0.5, 0.5))
+FACTS = "array<struct<title:string,sentence_id:int>>"
+
+
+def test_support_is_compared_by_title_and_sentence(spark):
+    df = spark.createDataFrame([([("A", 0), ("C", 2)], [("A", 0), ("B", 1)]), ([("A", 0)], [("A", 1)])], f"p {FACTS}, g {FACTS}")
+    got = [tuple(r.s) for r in df.select(qa.support_score(F.col("p"), F.col("g")).alias("s")).collect()]
+    assert got[0] == pytest.approx((0, 0.5, 0.5, 0.5)) and got[1] == (0, 0, 0, 0)
 
 
 def test_missing_answers_make_joint_zero(spark):
-    examples = spark.createDataFrame([("e", "x", ["A"])], "example_id string, answer string, facts array<string>")
+    examples = spark.createDataFrame([("e", "x", [("A", 0)])], f"example_id string, answer string, facts {FACTS}")
     answers = spark.createDataFrame([], "example_id string, prediction string")
-    support = spark.createDataFrame([("e", ["A"])], "example_id string, predicted array<string>")
+    support = spark.createDataFrame([("e", [("A", 0)])], f"example_id string, predicted {FACTS}")
     row = qa.evaluate(examples, answers, support).first()
     assert row.missing_answer and row.sp_em == 1 and row.joint_em == 0 and row.joint_f1 == 0
 
@@ -110,17 +114,33 @@ def test_systematic_positions(spark):
 
 
 def test_slices_do_not_depend_on_order(spark):
+    import hashlib
+
     rows = spark.range(200)
-    a = sampling.hash_slice(rows, "id", 20, 1).collect()
-    assert a == sampling.hash_slice(rows.repartition(9), "id", 20, 1).collect()
-    assert a == sampling.two_phase_slice([rows.where("id < 50"), rows.where("id >= 50")], "id", 20, 1).collect()
+    a = [r.id for r in sampling.hash_slice(rows, "id", 20, 1).collect()]
+    assert a == sorted(range(200), key=lambda i: hashlib.sha256(f"1\0{i}".encode()).digest())[:20]
+    assert a == [r.id for r in sampling.hash_slice(rows.repartition(9), "id", 20, 1).collect()]
+    assert a == [r.id for r in sampling.two_phase_slice([rows.where("id < 50"), rows.where("id >= 50")], "id", 20, 1).collect()]
+
+
+@pytest.mark.parametrize(("size", "ids"), [(0, [1, 2]), (3, [1, 2]), (1, [1, 1])])
+def test_slices_that_cannot_be(spark, size, ids):
+    with pytest.raises(ValueError):
+        sampling.hash_slice(spark.createDataFrame([(i,) for i in ids], "id long"), "id", size, 1)
 
 
-def test_distractors_avoid_the_base(spark):
-    base = spark.createDataFrame([("e", str(k)) for k in range(0, 60, 2)], "example_id string, document_id string")
+def test_distractors_are_the_smallest_hashes_of_the_whole_pool(spark):
+    import hashlib
+
+    base = spark.createDataFrame([("e", str(k)) for k in range(0, 60, 2)] + [("f", "1")], "example_id string, document_id string")
     pool = spark.range(60).select(F.col("id").cast("string").alias("document_id"))
-    got = sampling.distractors(base, pool, 3, 1).collect()
-    assert len(got) == 3 and all(int(r.document_id) % 2 for r in got)
+    got = {(r.example_id, r.place): r.document_id for r in sampling.distractors(base, pool.unionByName(pool), 3, 1).collect()}
+    for e, own in (("e", {str(k) for k in range(0, 60, 2)}), ("f", {"1"})):
+        ranked = sorted((d for d in map(str, range(60)) if d not in own), key=lambda d: hashlib.sha256(f"1\0{e}\0{d}".encode()).digest())
+        assert [got[e, k] for k in (1, 2, 3)] == ranked[:3]
+    assert sampling.distractors(base, pool, 30, 1).count() == 60
+    with pytest.raises(ValueError):
+        sampling.distractors(base, pool, 31, 1)
 
 
 def test_dense_ties_and_blocks(spark):
@@ -194,14 +214,46 @@ def test_stream_counts_each_file_once(spark, tmp_path):
     assert {r.term: (r.df, r.cf) for r in incremental.current_term_counts(spark, out).collect()} == {"a": (1, 2), "b": (2, 2), "c": (1, 1)}
 
 
-def test_shards_resume(spark, tmp_path):
-    numbered = spark.range(1, 11).withColumnRenamed("id", "rowid")
-    first = incremental.build_shards(numbered.where("rowid <= 8"), 4, str(tmp_path / "s"), lambda df: df.withColumn("v", F.lit(1)))
-    assert first.count() == 2
-    ledger = incremental.build_shards(numbered, 4, str(tmp_path / "s"), lambda df: df.withColumn("v", F.lit(2)))
-    assert [tuple(r) for r in ledger.orderBy("shard_index").collect()] == [(0, 1, 4, 4), (1, 5, 8, 4), (2, 9, 10, 2)]
-    assert audit.contiguity_issues(ledger).count() == 0
-    assert spark.read.parquet(str(tmp_path / "s" / "vectors")).where("v = 1").count() == 8
+def encoded(df):
+    return df.select("rowid", F.array(F.col("rowid").cast("double")).alias("vector"), F.lit(3).alias("tokens"), (F.col("rowid") > 9).alias("truncated"), F.lit(0.001).alias("norm_error"))
+
+
+IDENTITY = dict.fromkeys(incremental.INVARIANT, "x")
+
+
+def test_store_resumes_and_finalises(spark, tmp_path):
+    folder, numbered = str(tmp_path / "s"), spark.range(1, 11).withColumnRenamed("id", "rowid")
+    store = incremental.ShardStore(spark, folder, 10, IDENTITY)
+    assert store.open() == 0 and store.build(numbered, 4, encoded, most_shards=1) == 4
+    with pytest.raises(ValueError):
+        incremental.ShardStore(spark, folder, 10, {**IDENTITY, "model_id": "y"}).open()
+    with pytest.raises(ValueError):
+        store.finalise(10)
+    again = incremental.ShardStore(spark, folder, 10, IDENTITY)
+    assert not again.recover() and again.open() == 4 and again.build(numbered, 4, encoded) == 6
+    assert [tuple(r)[:4] for r in again.ledger().orderBy("shard_index").collect()] == [(0, 1, 4, 4), (1, 5, 8, 4), (2, 9, 10, 2)]
+    with pytest.raises(ValueError):
+        again.finalise(9)
+    totals = again.finalise(10)["index"]
+    assert totals == {"shard_count": 3, "document_count": 10, "tokens_processed": 30, "truncated_documents": 1, "max_norm_error": 0.001}
+    with pytest.raises(FileExistsError):
+        again.open()
+    assert spark.read.parquet(folder + "/vectors").count() == 10
+
+
+def test_store_clears_only_its_own_empty_beginning(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    incremental.ShardStore(spark, folder, 10, IDENTITY).open()
+    assert not incremental.ShardStore(spark, folder, 11, IDENTITY).recover()
+    assert not incremental.ShardStore(spark, folder, 10, {**IDENTITY, "batch_size": "y"}).recover()
+    assert incremental.ShardStore(spark, folder, 10, {**IDENTITY, "host": "other"}).recover()
+    assert incremental.ShardStore(spark, folder, 10, IDENTITY).open() == 0
+
+
+def test_impossible_shards(spark, tmp_path):
+    rows = [(0, 4, 3, 0, 0.0), (1, 4, 4, 5, 0.0), (2, 0, 0, 0, 0.0), (3, 4, 9, 1, 0.5), (4, 4, 4, 4, 0.002), (5, 4, 4, None, 0.0)]
+    df = spark.createDataFrame(rows, "shard_index int, document_count long, tokens_processed long, truncated_documents long, max_norm_error double")
+    assert sorted(map(tuple, audit.bound_issues(df).collect())) == [(0, "tokens"), (1, "truncated"), (2, "no_documents"), (3, "norm_error"), (5, "truncated")]
 
 
 def test_shard_issues_without_a_global_window(spark, capsys):
@@ -210,3 +262,107 @@ def test_shard_issues_without_a_global_window(spark, capsys):
     assert sorted(map(tuple, got.collect())) == [(3, 13, 16, 4, 9), (4, 17, 19, 4, 17)]
     got.explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_positions_and_increase(spark):
+    a = spark.createDataFrame([(1, "x"), (5, "y"), (7, "z")], "o int, k string")
+    b = spark.createDataFrame([(2, "x"), (3, "q")], "o int, k string")
+    got = audit.position_mismatches(audit.paired_by_position(a, b, "o", "k")).collect()
+    assert sorted((r.place, r.left, r.right) for r in got) == [(2, "y", "q"), (3, "z", None)]
+    rows = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, None), (5, 1)], "o int, v int")
+    assert sorted(r.o for r in audit.not_increasing(rows, "o", "v").collect()) == [2, 4, 5]
+
+
+def test_incomplete_rankings_and_counts(spark):
+    queries = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "example_id string")
+    ranking = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "example_id string, rank int")
+    assert sorted(map(tuple, audit.incomplete_rankings(queries, ranking, 2).collect())) == [("b", 1), ("c", 0)]
+    audit.require_counts({"read": 3}, {"read": 3})
+    with pytest.raises(ValueError, match="read: 3 instead of 4"):
+        audit.require_counts({"read": 3}, {"read": 4})
+
+
+def test_manifest_against_files(spark, tmp_path):
+    spark.range(3).coalesce(1).write.json(str(tmp_path / "d"))
+    files = audit.file_inventory(spark, str(tmp_path / "d")).where("path LIKE 'part%'").select("path", "length", "sha256")
+    path = files.first().path
+    listed = spark.createDataFrame([(path, 1, "x"), ("gone", 1, "x")], "path string, length long, sha256 string")
+    assert audit.manifest_issues(files, files).count() == 0
+    assert sorted(map(tuple, audit.manifest_issues(listed, files).collect())) == [("gone", "missing"), (path, "length")]
+    assert audit.manifest_issues(files.limit(0), files).first().issue == "unlisted"
+
+
+EXAMPLE = "example_id string, question string, answer string, supporting_facts array<struct<title:string,sentence_id:int>>, context array<struct<title:string,sentences:array<string>>>"
+
+
+def test_prompts_under_a_budget(spark):
+    demos = spark.createDataFrame([("d1", "Q1?", "a1", [("T", 1)], [("T", ["x.", " y. "]), ("U", ["z."])]), ("d2", "Q2?", "a2", [("T", 0)], [("T", ["w."])])], EXAMPLE)
+    targets = spark.createDataFrame([("t", "Who?", "secret", None, [("A", ["one two", "three"]), ("B", ["four", "five"])]), ("n", "Who?", None, None, [])], EXAMPLE)
+    whole = {r.example_id: r for r in prompts.direct_prompts(targets, demos, 1000).collect()}
+    want = (
+        "<|im_start|><|object_ref_start|>Answer each question using only its evidence. Return only the shortest answer after \"Answer:\".\n\n"
+        "Question: Q1?\n\nEvidence:\n[Document 1] T\n(0) x.\n(1) y.\nAnswer: a1\n\nQuestion: Q2?\n\nEvidence:\n[Document 1] T\n(0) w.\nAnswer: a2\n\n"
+        "Question: Who?\n\nEvidence:\n[Document 1] A\n(0) one two\n(1) three\n\n[Document 2] B\n(0) four\n(1) five\nAnswer:<|im_end|>"
+    )
+    assert whole["t"].prompt == want and not whole["t"].truncated and whole["n"].status == "no_evidence" and whole["n"].prompt is None
+    assert whole["t"].input_tokens == len(want.split())
+    r = prompts.direct_prompts(targets.limit(1), demos, len(want.split()) - 1).first()
+    assert r.prompt == want.replace("\n(1) five", "") and (r.n_sentences, r.dropped_sentences, r.n_documents, r.dropped_documents, r.truncated) == (3, 1, 2, 0, True)
+    r = prompts.direct_prompts(targets.limit(1), demos, len(want.split()) - 3).first()
+    assert (r.n_sentences, r.n_documents, r.dropped_documents) == (2, 1, 1)
+    assert prompts.direct_prompts(targets.limit(1), demos, 5).first().status == "no_sentence_fits"
+    with pytest.raises(ValueError):
+        prompts.direct_prompts(targets, demos, 0)
+
+
+def test_chat_prompts(spark):
+    demos = spark.createDataFrame([("d1", "Q1?", "a1", [("T", 1)], [("T", ["x.", " y. "])]), ("d2", "Q2?", "a2", [("T", 0)], [("T", ["w."])])], EXAMPLE)
+    targets = spark.createDataFrame([("t", "Who?", "secret", None, [("A", ["one two"])])], EXAMPLE)
+    text = prompts.chat_prompts(targets, demos, 1000, rationale=True).first().prompt
+    assert "Reasoning: y.\nAnswer: a1<|im_end|>" in text and "secret" not in text and text.count("<|im_start|>") == 7
+    roles = prompts.chat_prompts(targets, demos, 1000, render_chat=lambda m: F.array_join(F.transform(m, lambda x: x.role), " ")).first().prompt
+    assert roles == "system user assistant user assistant user"
+    with pytest.raises(Exception, match="two demonstrations"):
+        prompts.chat_prompts(targets, demos.limit(1), 1000).collect()
+    with pytest.raises(Exception, match="no demonstration"):
+        prompts.chat_prompts(targets, demos.withColumn("answer", F.lit(None).cast("string")), 1000).collect()
+
+
+def test_records_written_and_read_again(spark, tmp_path):
+    from askmill.sources import qa as records
+
+    context = [("A", ['x "q"', None, "é"]), None, (None, None), ("B", [])]
+    rows = [("e1", "Q?", "a", "bridge", None, [("A", 1), None, ("B", None)], context), ("e2", "R?", None, None, "hard", [], None)]
+    df = spark.createDataFrame(rows, records.RECORD)
+    sinks.delivered_records(df).write.text(str(tmp_path / "lines"))
+    assert sorted(map(repr, records.load_records(spark, str(tmp_path / "lines")).collect())) == sorted(map(repr, df.collect()))
+    df.write.parquet(str(tmp_path / "t.parquet"))
+    assert records.load_records(spark, str(tmp_path / "t.parquet")).count() == 2
+    whole = "[" + ",\n".join(r.payload for r in sinks.delivered_records(df).collect()) + "]"
+    (tmp_path / "list.json").write_text(whole)
+    assert sorted(map(repr, records.load_records(spark, str(tmp_path / "list.json")).collect())) == sorted(map(repr, df.collect()))
+    (tmp_path / "p.json").write_text('{"answer": {"e": "x"}, "sp": {"e": [["A", 0], ["B", 2]]}}')
+    answers, support = records.load_predictions(spark, str(tmp_path / "p.json"))
+    assert tuple(answers.first()) == ("e", "x") and [tuple(f) for f in support.first().predicted] == [("A", 0), ("B", 2)]
+    (tmp_path / "q.json").write_text('{"answer": {"e": "x"}}')
+    with pytest.raises(ValueError):
+        records.load_predictions(spark, str(tmp_path / "q.json"))
+
+
+def test_lines_are_numbered_and_logs_read(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\nthree\n" + "x" * 50 + "\nprogress=1 examples=3/9 example_id=e7 status=complete t\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
+    try:
+        lines = corpus.corpus_lines(spark, [str(tmp_path / "a.txt")]).orderBy("line").collect()
+        found = corpus.log_fields(corpus.corpus_lines(spark, [str(tmp_path / "a.txt")]), corpus.PROGRESS_LINE, ["example_id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.line, r.value[:3]) for r in lines] == [(1, "one"), (3, "thr"), (4, "xxx"), (5, "pro")]
+    assert [(r.line, r.example_id) for r in found] == [(5, "e7")]
+
+
+def test_prediction_and_placeholder_records(spark):
+    df = spark.createDataFrame([("e", "Paris", "Paris"), ("f", None, None)], "example_id string, prediction string, gold_answer string")
+    got = {r.example_id: r.answer_score for r in sinks.prediction_records(df).collect()}
+    assert tuple(got["e"]) == (1, 1, 1, 1) and got["f"] is None
+    assert {r.status for r in sinks.not_applicable(df, "no reader").collect()} == {"not_applicable"}

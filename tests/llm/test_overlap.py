@@ -18,15 +18,17 @@ def found(spark, items):
     return {tuple(r) for r in O.overlaps(rows(spark, items)).collect()}
 
 
-@pytest.mark.parametrize(
-    "other",
-    [
-        BASE, BASE.upper(), BASE + " ", "Q: " + BASE, BASE.replace("the lake", "lake"), BASE.replace("town", "twon"), BASE.replace("worked", "woorked"),
-        BASE.replace("Lake", "Ｌаkе"), BASE.replace("located?", "located exactly"), "(multi-hop) " + BASE.replace(" ", "  "),
-    ],
-)
-def test_same_question(spark, other):
-    assert found(spark, [(BASE, "Rotukusk", "train"), (other, " rotukusk.", "test"), (other, None, "validation")]) == {(0, 1), (0, 2)}
+def test_same_question(spark):
+    variants = [
+        lambda q: q, str.upper, lambda q: q + " ", lambda q: "Q: " + q, lambda q: q.replace("the lake", "lake"), lambda q: q.replace("town", "twon"),
+        lambda q: q.replace("worked", "woorked"), lambda q: q.replace("Lake", "Ｌаkе"), lambda q: q.replace("located", "located exactly"), lambda q: "(multi-hop) " + q.replace(" ", "  "),
+    ]
+    names = "Tudradend Klobesto Vupivekam Natrohond Zibermask Gorwinthe Pelluxamo Quistorni Hefradolu Jamblenka".split()
+    items = []
+    for name, other in zip(names, variants, strict=True):
+        q = BASE.replace("Tudradend", name)
+        items += [(q, "Rotukusk", "train"), (other(q), "rotukusk.", "test"), (other(q), None, "validation")]
+    assert found(spark, items) == {(3 * k, 3 * k + i) for k in range(len(names)) for i in (1, 2)}
 
 
 def test_other_questions(spark):
@@ -145,10 +147,11 @@ def test_long_texts_with_one_letter_changed(spark):
     assert found(spark, [(long, "A", "train"), (long[:2400] + "z" + long[2401:], "A", "test")]) == {(0, 1)}
 
 
-@pytest.mark.parametrize("size", [850, 1200, 2800, 5500])
-def test_texts_of_some_length_with_a_slip(spark, size):
-    draw = random.Random(size)
-    long = " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(size // 7))
-    other = " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(size // 7))
-    items = [(long, "A", "train"), ("z" + long, None, "test"), (other, "A", "train"), (other[: size // 2] + other[: size // 2], "A", "test")]
-    assert found(spark, items) == {(0, 1)}
+def test_texts_of_some_length_with_a_slip(spark):
+    items, want = [], set()
+    for size in (850, 1200, 2800, 5500):
+        draw = random.Random(size)
+        long, other = (" ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(size // 7)) for _ in range(2))
+        want.add((len(items), len(items) + 1))
+        items += [(long, "A", "train"), ("z" + long, None, "test"), (other, "A", "train"), (other[: size // 2] + other[: size // 2], "A", "test")]
+    assert found(spark, items) == want

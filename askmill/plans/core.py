@@ -299,7 +299,8 @@ def revised_before_neighbour(spark, d):
 
 def canonical_id_issues(spark, d):
     rows = table(spark, d, "documents").where("title IS NOT NULL AND document_id IS NOT NULL")
-    return rows.where(F.col("document_id") != T.canonical_title("title")).select("doc_id", "document_id")
+    differs = F.col("document_id") != T.canonical_title("title")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(differs).alias("n_different"))
 
 
 def run_compare(spark, d):

@@ -24,17 +24,17 @@ TELLING = {"en": "the of and which is was", "de": "der die das und wurde ist", "
 
 _WORD = r"[\p{L}\p{M}]+"
 #: Signs that part or join clauses (fixed value).
-_CLAUSE = ",;:—("
+_CLAUSE = "[,;:—(]"
 
 
-def _sentence(s: Column) -> Column:
-    """The words of one sentence, and what is counted in its characters."""
+def _sentence(x: Column) -> Column:
+    """The words of one sentence, given as it stands and in small letters, and what is counted in its characters."""
     return F.struct(
-        F.regexp_extract_all(F.lower(s), F.lit(_WORD), F.lit(0)).alias("w"),
-        F.regexp_count(s, F.lit(r"(?i)[aeiouyäöüàâéèêëîïôûùáíóúœæ]+")).alias("syllables"),
-        (F.length(s) - F.length(F.translate(s, _CLAUSE, ""))).alias("marks"),
-        F.regexp_count(s, F.lit(r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})")).alias("capitals"),
-        F.regexp_count(s, F.lit(r"\p{N}+")).alias("numbers"),
+        F.regexp_extract_all(x.small, F.lit(_WORD), F.lit(0)).alias("w"),
+        F.regexp_count(x.small, F.lit(r"[aeiouyäöüàâéèêëîïôûùáíóúœæ]+")).alias("syllables"),
+        F.regexp_count(x.s, F.lit(_CLAUSE)).alias("marks"),
+        F.regexp_count(x.s, F.lit(r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})")).alias("capitals"),
+        F.regexp_count(x.s, F.lit(r"\p{N}+")).alias("numbers"),
     )
 
 
@@ -63,10 +63,9 @@ def _measures(x: Column) -> Column:
 _SENTENCE = ("words", "letters", "long", "longest", "syllables", "short", "marks", "clause", "capitals", "numbers")
 
 
-def _held(sentences: str, small: str) -> Column:
-    """How many of the words ``small`` the sentences hold, summed over them."""
-    own = F.split(F.lit(small), " ")
-    return F.aggregate(sentences, F.lit(0), lambda n, w: n + F.size(F.array_intersect(w, own)))
+def _among(words: str, known: list[str]) -> Column:
+    """How many of the words are ``known``."""
+    return F.size(F.filter(words, lambda w: w.isin(*known)))
 
 
 def features(documents: DataFrame, *carried: str) -> DataFrame:
@@ -81,12 +80,15 @@ def features(documents: DataFrame, *carried: str) -> DataFrame:
     rows = (
         documents.where(F.col("text").rlike(r"\p{L}"))
         .select("doc_id", "source", *carried, sentences.alias("s"))
-        .select("doc_id", "source", *carried, F.transform("s", _sentence).alias("t"))
+        .select("doc_id", "source", *carried, F.transform("s", lambda s: F.struct(s.alias("s"), F.lower(s).alias("small"))).alias("t"))
+        .withColumn("t", F.transform("t", _sentence))
         # the words of a sentence are found and measured once; everything else is counted from them
         .withColumn("t", F.transform("t", lambda x: F.struct(x.w.alias("w"), F.transform(x.w, lambda w: F.length(w)).alias("lengths"), *(x[c].alias(c) for c in ("syllables", "marks", "capitals", "numbers")))))
         .withColumn("m", F.transform("t", _measures))
         .withColumn("w", F.transform("t", lambda x: F.array_distinct(x.w)))
     )
+    all_telling = " ".join(TELLING.values()).split()
+    rows = rows.withColumn("every", F.flatten("w")).withColumn("telling", F.filter("every", lambda w: w.isin(*all_telling)))
     at = F.size("m") - 1
     for name in _SENTENCE:
         rows = rows.withColumn(f"o_{name}", F.sort_array(F.col("m").getField(name)))
@@ -98,10 +100,10 @@ def features(documents: DataFrame, *carried: str) -> DataFrame:
     shared = F.filter(shared, lambda x: x.isNotNull())
     columns["cohesion"] = F.when(F.size(shared) > 0, F.aggregate(shared, F.lit(0.0), lambda a, x: a + x) / F.size(shared)).otherwise(0.0)
     columns["sentences"] = F.log1p(F.size("m")).cast("double")
-    every = F.flatten("w")
+    every = F.col("every")
     columns["variety"] = F.size(F.array_distinct(every)) / F.greatest(F.size(every), F.lit(1))
     for language, small in TELLING.items():
-        columns[f"small_{language}"] = _held("w", small) / F.size("w")
+        columns[f"small_{language}"] = _among("telling", small.split()) / F.size("w")
     named = rows.select("doc_id", "source", *carried, *(c.cast("double").alias(k) for k, c in columns.items()))
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(named).select(
         "doc_id", "source", "features", *carried

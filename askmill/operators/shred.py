@@ -52,6 +52,23 @@ def leaves(schema: T.DataType, steps: tuple[str, ...] = (), rep: int = 0, define
     return [Leaf(steps, schema, rep, defined)]
 
 
+def _text(value: Column, dtype: T.DataType) -> Column:
+    """A leaf's value as a text from which it comes back exactly."""
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(value)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    return value.cast("string")
+
+
+def _value(text: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.BinaryType):
+        return F.unhex(text)
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(text.cast("bigint"))
+    return text.cast(dtype)
+
+
 def _entry(rep: Column, defined: int, value: Column) -> Column:
     return F.array(
         F.struct(rep.cast("int").alias("rep"), F.lit(defined).alias("def"), value.cast("string").alias("value"))
@@ -76,7 +93,7 @@ def _levels(node: Column, schema: T.DataType, steps: tuple[str, ...], rep: Colum
         field = schema[steps[0]]
         inner = _levels(node.getField(field.name), field.dataType, steps[1:], rep, depth, defined + 1)
         return F.when(node.isNull(), absent).otherwise(inner)
-    return F.when(node.isNull(), absent).otherwise(_entry(rep, defined + 1, node))
+    return F.when(node.isNull(), absent).otherwise(_entry(rep, defined + 1, _text(node, schema)))
 
 
 def shred(records: DataFrame, key: str = KEY, columns: list[str] | None = None) -> dict[str, DataFrame]:
@@ -84,7 +101,7 @@ def shred(records: DataFrame, key: str = KEY, columns: list[str] | None = None)
 
     ``key`` must be unique and not null. All levels follow the standard three-level list encoding with
     every node optional, so a null list, an empty list, a null element and a null field stay distinct.
-    Values are strings; ``assemble`` casts them back. Nothing is shuffled: the entries of a record come
+    Values are texts from which ``assemble`` gets them back exactly. Nothing is shuffled: the entries of a record come
     from expressions over its own row.
     """
     columns = columns or [c for c in records.columns if c != key]
@@ -129,7 +146,7 @@ def assemble(shredded: dict[str, DataFrame], schema: T.StructType, ancestor: str
             {f"i{k}": F.col(f"n{k}") - F.max(F.when(F.col("rep") < k, F.col(f"n{k}"))).over(order) for k in range(1, depth + 1)}
         )
         rows = rows.where((F.col("def") >= slots[depth - 1]) & (F.col("rep") <= depth))
-        value = F.when(F.col("def") == leaf.max_def, F.col("value").cast(leaf.type)) if leaf.max_rep == depth else F.lit(None)
+        value = F.when(F.col("def") == leaf.max_def, F.col("value")) if leaf.max_rep == depth else F.lit(None)
         parts.append(
             rows.select(
                 *keys,
@@ -143,7 +160,7 @@ def assemble(shredded: dict[str, DataFrame], schema: T.StructType, ancestor: str
     for more in parts[1:]:
         long = long.unionByName(more)
     picked = [
-        F.max(F.when(F.col("field") == n, F.col("value"))).cast(leaf.type).alias(n)
+        _value(F.max(F.when(F.col("field") == n, F.col("value"))), leaf.type).alias(n)
         for n, leaf in zip(names, under, strict=True)
         if leaf.max_rep == depth
     ]

@@ -89,3 +89,17 @@ def test_long_record(spark):
     rows = assemble(shred(frame(spark, [context]), KEY, ["context"]), RECORD, "context[].sentences[]")
     assert rows.where("i1 = 199 AND i2 = 49 AND value = '49'").count() == 1
     assert rows.count() == 10_000
+
+
+def test_values_come_back_exactly(spark):
+    import datetime
+
+    inner = "xs array<struct<b: binary, d: double, f: float, t: timestamp, n: decimal(20,5), s: string>>"
+    xs = [
+        (bytearray(b"\xff\x00a"), 0.1 + 0.2, 1.1, datetime.datetime(2026, 10, 25, 2, 30, 0, 123456), None, ""),
+        (bytearray(b""), float("inf"), float("-0.0"), datetime.datetime(1969, 12, 31, 23, 59, 59, 999999), None, None),
+        (None, 5e-324, 3.4028235e38, None, None, "é\n"),
+    ]
+    df = spark.createDataFrame([("k", xs)], f"{KEY} string, {inner}")
+    got = assemble(shred(df, KEY, ["xs"]), df.select("xs").schema, "xs[]").orderBy("i1").select("b", "d", "f", "t", "n", "s").collect()
+    assert [repr(tuple(r)) for r in got] == [repr(tuple(r)) for r in df.selectExpr("inline(xs)").collect()]

@@ -74,12 +74,14 @@ def unpivoted(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns))).alias("u")).select(key, "u.*")
 
 
-def compare_fields(reported: DataFrame, expected: DataFrame, key: str, columns: list[str], tolerance: float = 0.0) -> DataFrame:
-    """(key, field, reported, expected) of fields that differ by more than ``tolerance`` or stand on one side only."""
+def compare_fields(reported: DataFrame, expected: DataFrame, key: str, columns: list[str], tolerance: float = 0.0, relative: bool = False) -> DataFrame:
+    """(key, field, reported, expected) of fields that differ by more than ``tolerance``, of the expected value if ``relative``, or
+    stand on one side only."""
     a = unpivoted(reported, key, columns).withColumnRenamed("value", "reported").withColumn("a", F.lit(1))
     b = unpivoted(expected, key, columns).withColumnRenamed("value", "expected").withColumn("b", F.lit(1))
     both = a.join(b, [key, "field"], "full")
-    same = F.coalesce(F.abs(F.col("reported") - F.col("expected")) <= tolerance, F.col("reported").isNull() & F.col("expected").isNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
+    room = F.abs("expected") * tolerance if relative else F.lit(tolerance)
+    same = F.coalesce(F.abs(F.col("reported") - F.col("expected")) <= room, F.col("reported").isNull() & F.col("expected").isNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
     return both.where(~same).select(key, "field", "reported", "expected")
 
 
@@ -148,6 +150,38 @@ def bound_issues(ledger: DataFrame, norm_limit: float = 0.002) -> DataFrame:
     return ledger.select("shard_index", F.explode(broken).alias("rule"))
 
 
+def batch_issues(batches: DataFrame, numbered: DataFrame, size: int, rowid: str = "rowid") -> DataFrame:
+    """(batch_index, field, reported, expected): batches whose first or last row or number of documents is not that of the
+    consecutive rows of ``numbered(rowid)``, or that stand on one side only.
+
+    ``batches(batch_index, first_rowid, last_rowid, document_count)``.
+    """
+    expected = segments(numbered.select(rowid), size, rowid, "batch_index").groupBy("batch_index").agg(
+        F.min(rowid).alias("first_rowid"), F.max(rowid).alias("last_rowid"), F.count("*").alias("document_count")
+    )
+    return compare_fields(batches, expected, "batch_index", ["first_rowid", "last_rowid", "document_count"])
+
+
+def calibration_summary(batches: DataFrame) -> DataFrame:
+    """One row: batches, documents, tokens and the largest norm error of a calibration run; zeros for none."""
+    zero = F.lit(0).cast("bigint")
+    return batches.agg(
+        F.count("*").alias("batch_count"),
+        F.coalesce(F.sum("document_count"), zero).alias("document_count"),
+        F.coalesce(F.sum("processed_tokens"), zero).alias("processed_tokens"),
+        F.coalesce(F.max("max_l2_norm_error_after_fp16_cast"), F.lit(0.0)).alias("max_norm_error"),
+    )
+
+
+def within_limits(seconds: Column, most_seconds: Column, reserved: Column, most_reserved: Column, host: Column, most_host: Column) -> Column:
+    """True if the projected time and the reserved memory keep to their limits, and the host's memory does, if it has a limit.
+
+    A measurement that is null keeps to no limit.
+    """
+    no = F.lit(False)
+    return F.coalesce(seconds <= most_seconds, no) & F.coalesce(reserved <= most_reserved, no) & (most_host.isNull() | F.coalesce(host <= most_host, no))
+
+
 def manifest_issues(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """(path, issue) of a full join of ``manifest(path, length, sha256)`` with ``files``: missing, unlisted, length, sha256."""
     joined = manifest.alias("m").join(files.alias("f"), "path", "full")

@@ -51,6 +51,18 @@ def quantiles(values: DataFrame, by: str, value: str, levels: tuple[float, ...])
     return picked.groupBy(by).agg(F.first("n").alias("n"), *(between(q).alias(f"q_{k}") for k, q in enumerate(levels)))
 
 
+def require_paired(values: DataFrame, pair: str, group: str, baseline: str, candidate: str, value: str) -> None:
+    """An error unless both groups hold every pair exactly once, with a finite value, and there is one at all."""
+    x, side = F.col(value).cast("double"), F.col(group)
+    finite = F.coalesce((x > float("-inf")) & (x < float("inf")), F.lit(False))
+    pairs = values.where(side.isin(baseline, candidate)).groupBy(pair).agg(
+        F.count_if(side == baseline).alias("b"), F.count_if(side == candidate).alias("c"), F.count_if(~finite).alias("bad")
+    )
+    row = pairs.agg(F.count("*").alias("n"), F.count_if((F.col("b") != 1) | (F.col("c") != 1)).alias("unpaired"), F.count_if(F.col("bad") > 0).alias("bad")).first()
+    if not row.n or row.unpaired or row.bad:
+        raise ValueError(f"{row.n} pairs, of which {row.unpaired} are not complete and {row.bad} not finite")
+
+
 def cohens_dz(diffs: DataFrame) -> DataFrame:
     """(n, mean_diff, dz): mean over sample deviation; without dispersion 0 or plus or minus infinity."""
     mean, sd = F.avg("diff"), F.stddev_samp("diff")

@@ -129,6 +129,11 @@ def recall_macro(spark, d):
     return rows.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 9).alias(c) for c in rows.columns if c != "example_id"))
 
 
+def gold_titles_in_order(spark, d):
+    rows = table(spark, d, "retrieval").select("batch_id", F.array_distinct(F.array_compact("gold_titles")).alias("t"))
+    return rows.select("batch_id", F.array_join("t", " | ").alias("titles"), F.coalesce(F.size("t"), F.lit(-1)).alias("n"))
+
+
 def fact_recall_at_k(spark, d):
     facts = _facts(spark, d).select("example_id", F.col("title").alias("document_id"))
     rows = evalret.fact_recall_at(facts, _ranking(spark, d), CUTOFFS)
@@ -271,9 +276,11 @@ def ranking_violations(spark, d):
 
 def metric_compare_tol(spark, d):
     rows = table(spark, d, "predictions").where("gold_answer IS NOT NULL AND answer_score IS NOT NULL")
-    again = rows.select("prediction_id", qa.answer_score(F.coalesce("prediction", F.lit("")), F.col("gold_answer")).alias("s")).select("prediction_id", "s.em", "s.f1")
-    stored = rows.select("prediction_id", F.col("answer_score.exact_match").alias("em"), F.col("answer_score.f1").alias("f1"))
-    found = audit.compare_fields(stored, again, "prediction_id", ["em", "f1"], 1e-9)
+    metrics = ["em", "f1", "prec", "recall"]
+    again = rows.select("prediction_id", qa.answer_score(F.coalesce("prediction", F.lit("")), F.col("gold_answer")).alias("s")).select("prediction_id", "s.*")
+    names = dict(zip(metrics, ("exact_match", "f1", "precision", "recall")))
+    stored = rows.select("prediction_id", *(F.col(f"answer_score.{names[m]}").alias(m) for m in metrics))
+    found = audit.compare_fields(stored, again, "prediction_id", metrics, 1e-12)
     return found.groupBy("field").agg(F.count("*").alias("n_different"))
 
 
@@ -603,7 +610,7 @@ def resumable_shards(spark, d):
 
 
 NAMES = (
-    "tokenize_stats term_freq_top doc_freq_top bm25_corpus_topk bm25_fts_variant_topk bm25_candidate_topk candidate_rerank_recall ranking_top10 recall_at_k "
+    "tokenize_stats term_freq_top doc_freq_top bm25_corpus_topk bm25_fts_variant_topk bm25_candidate_topk candidate_rerank_recall ranking_top10 recall_at_k gold_titles_in_order "
     "recall_macro fact_recall_at_k outcome_histogram rank_bins missing_gold_top20 recall_by_type_and_level nested_ranking retrieval_throughput "
     "answer_norm answer_f1 answer_macro evaluate_examples evaluate_macro hash_slice two_phase_slice systematic_sample distractors append_distractors "
     "gold_semi_join anti_join_pool fact_sentence_join ref_range_issues record_violations ranking_violations metric_compare_tol ranking_equivalence incomplete_rankings revised_before_neighbour canonical_id_issues "

@@ -315,8 +315,12 @@ UNION ALL SELECT batch_id, 'repeated' FROM c WHERE document_id IS NOT NULL AND c
 SELECT batch_id, rule, count(*) AS n FROM v GROUP BY 1, 2""",
     "metric_compare_tol": "WITH answered AS (SELECT * FROM predictions WHERE gold_answer IS NOT NULL AND answer_score IS NOT NULL), "
     + _score("coalesce(prediction, '')", "gold_answer", "answered", "answer_score")
-    + """, f AS (SELECT 'em' AS field, answer_score.exact_match AS a, em AS b FROM scored UNION ALL SELECT 'f1', answer_score.f1, f1 FROM scored)
-SELECT field, count(*) AS n_different FROM f WHERE NOT coalesce(abs(a - b) <= 1e-9, a IS NULL AND b IS NULL) GROUP BY 1""",
+    + """, f AS (SELECT 'em' AS field, answer_score.exact_match AS a, em AS b FROM scored UNION ALL SELECT 'f1', answer_score.f1, f1 FROM scored
+  UNION ALL SELECT 'prec', answer_score.precision, prec FROM scored UNION ALL SELECT 'recall', answer_score.recall, recall FROM scored)
+SELECT field, count(*) AS n_different FROM f WHERE NOT coalesce(abs(a - b) <= 1e-12, a IS NULL AND b IS NULL) GROUP BY 1""",
+    "gold_titles_in_order": """WITH t AS (SELECT batch_id, list_filter(gold_titles, lambda x: x IS NOT NULL) AS l FROM retrieval),
+u AS (SELECT batch_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM t)
+SELECT batch_id, CASE WHEN l IS NULL THEN NULL ELSE coalesce(array_to_string(l, ' | '), '') END AS titles, CASE WHEN l IS NULL THEN -1 ELSE len(l) END::INT AS n FROM u""",
     "candidate_rerank_recall": f"""
 WITH {_GOLD}, {_PARAGRAPHS}, {_FACTS},
 c AS (SELECT example_id AS query_id, paragraph_index AS item, title, list_distinct({_words("question")}) AS q,

@@ -366,3 +366,43 @@ def test_prediction_and_placeholder_records(spark):
     got = {r.example_id: r.answer_score for r in sinks.prediction_records(df).collect()}
     assert tuple(got["e"]) == (1, 1, 1, 1) and got["f"] is None
     assert {r.status for r in sinks.not_applicable(df, "no reader").collect()} == {"not_applicable"}
+
+
+def test_calibration_batches(spark):
+    numbered = spark.range(1, 11).withColumnRenamed("id", "rowid")
+    rows = [(0, 1, 4, 4, 9, 0.1), (1, 5, 8, 4, 9, 0.2), (2, 9, 9, 1, 9, 0.0)]
+    batches = spark.createDataFrame(rows, "batch_index long, first_rowid long, last_rowid long, document_count long, processed_tokens long, max_l2_norm_error_after_fp16_cast double")
+    got = audit.batch_issues(batches, numbered, 4).collect()
+    assert sorted((r.batch_index, r.field) for r in got) == [(2, "document_count"), (2, "last_rowid")]
+    assert tuple(audit.calibration_summary(batches).first()) == (3, 9, 27, 0.2)
+    assert tuple(audit.calibration_summary(batches.limit(0)).first()) == (0, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize(("values", "expected"), [((1, 2, 3, 4, None, None), True), ((1, 2, 3, 4, 5, 4), False), ((3, 2, 3, 4, None, None), False), ((None, 2, 3, 4, None, None), False), ((1, 2, 3, 4, None, 4), False)])
+def test_resource_limits(spark, values, expected):
+    df = spark.createDataFrame([values], "a int, b int, c int, d int, e int, f int")
+    assert df.select(audit.within_limits(*(F.col(c) for c in "abcdef")).alias("y")).first().y is expected
+
+
+def test_relative_tolerance(spark):
+    a, b = (spark.createDataFrame([(1, x)], "k int, v double") for x in (1000.0, 1000.5))
+    assert audit.compare_fields(a, b, "k", ["v"], 1e-3, relative=True).count() == 0
+    assert audit.compare_fields(a, b, "k", ["v"], 1e-4, relative=True).count() == 1
+
+
+def test_strict_pairs(spark):
+    def frame(rows):
+        return spark.createDataFrame(rows, "p string, g string, v double")
+
+    good = [("a", "x", 1.0), ("a", "y", 2.0)]
+    stats.require_paired(frame(good), "p", "g", "x", "y", "v")
+    for bad in ([], good[:1], [*good, ("a", "x", 1.0)], [("a", "x", math.inf), good[1]], [("a", "x", None), good[1]]):
+        with pytest.raises(ValueError):
+            stats.require_paired(frame(bad), "p", "g", "x", "y", "v")
+
+
+def test_exact_quantiles(spark):
+    rows = [("a", float(v)) for v in (4, 1, 10, 2)] + [("b", 7.0), ("b", None), ("b", math.nan), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.n, r.q_0, r.q_1) for r in stats.quantiles(df, "g", "v", (0.5, 0.95)).collect()}
+    assert got["a"] == (4, 3.0, pytest.approx(9.1)) and got["b"] == (1, 7.0, 7.0) and got[None] == (1, 3.0, 3.0)

@@ -143,6 +143,29 @@ def test_distractors_are_the_smallest_hashes_of_the_whole_pool(spark):
         sampling.distractors(base, pool, 31, 1)
 
 
+def test_distractors_sort_few_pairs_and_ask_again(spark, monkeypatch):
+    def pairs():  # rows that joins without keys have given so far
+        store, n = spark._jsparkSession.sharedState().statusStore(), 0
+        for e in range(store.executionsCount()):
+            run = store.executionsList().apply(e)
+            nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+            for node in map(nodes.apply, range(nodes.size())):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                if node.name().startswith(("BroadcastNestedLoopJoin", "CartesianProduct")):
+                    n += sum(int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+        return n
+
+    base = spark.range(20).select(F.col("id").cast("string").alias("example_id"), (F.col("id") % 7).cast("string").alias("document_id"))
+    pool = spark.range(5000).select(F.col("id").cast("string").alias("document_id"))
+    before = pairs()
+    once = sorted(map(tuple, sampling.distractors(base, pool, 2, 7).collect()))
+    assert len(once) == 40 and 40 <= pairs() - before < 20 * 5000 / 10
+    monkeypatch.setattr(sampling, "BELOW", 0.5)
+    monkeypatch.setattr(sampling, "SENT_EXAMPLES", 0)
+    assert sorted(map(tuple, sampling.distractors(base, pool, 2, 7).collect())) == once
+    assert sampling.distractors(base, pool, 0, 7).count() == 0
+
+
 def test_dense_ties_and_blocks(spark):
     vectors = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(30)], "vec_id long, embedding array<float>")
     queries = vectors.where("vec_id < 7").withColumnRenamed("vec_id", "query_id")

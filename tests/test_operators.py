@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from askmill.operators import audit, dense, evalret, lexical, prompts, qa, sampling, stats
+from askmill.plans import core
 from askmill.sources import corpus, sinks
 from askmill.streaming import incremental
 
@@ -166,6 +167,11 @@ def test_distractors_sort_few_pairs_and_ask_again(spark, monkeypatch):
     assert sampling.distractors(base, pool, 0, 7).count() == 0
 
 
+def test_appended_distractors_read_gold_once(spark, data):
+    plan = core.append_distractors(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "supporting_facts" not in plan and "record_id" not in plan
+
+
 def test_dense_ties_and_blocks(spark):
     vectors = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(30)], "vec_id long, embedding array<float>")
     queries = vectors.where("vec_id < 7").withColumnRenamed("vec_id", "query_id")

@@ -26,6 +26,24 @@ def test_bm25_against_definition(spark):
         assert got.get(k, 0) == pytest.approx(score)
 
 
+@pytest.mark.parametrize("variant", [lexical.IN_MEMORY, lexical.FULL_TEXT])
+def test_bm25_top_k_equals_the_scores_of_all_pairs(spark, monkeypatch, variant):
+    import random
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices("abcdefghijkl", range(12, 0, -1), k=draw.randrange(1, 9))) for _ in range(60)] + [None, "", "zz"]
+    asked = [(i, " ".join(draw.sample("abcdefghijklm", 4))) for i in range(23)] + [(30, ""), (31, None), (32, "m"), (33, "zz")]
+    queries = spark.createDataFrame(asked, "query_id int, question string")
+    corpus = docs(spark, texts * 2)
+    want = sorted(map(tuple, lexical.top_k(lexical.bm25(corpus, queries, variant), 4).collect()))
+    for tile, columns, share, sent in (((512, 2048), 256, 0.0025, 32_768), ((3, 4), 3, 0.0, 5), ((3, 4), 0, 0.0, 50)):
+        monkeypatch.setattr(lexical, "TILE", tile), monkeypatch.setattr(lexical, "COLUMNS", columns)
+        monkeypatch.setattr(lexical, "COLUMN_SHARE", share), monkeypatch.setattr(lexical, "SENT_QUERIES", sent)
+        got = lexical.bm25_top_k(corpus, queries, 4, variant)
+        assert sorted(map(tuple, got.collect())) == want
+    assert lexical.bm25_top_k(corpus.where("false"), queries, 4, variant).count() == lexical.bm25_top_k(corpus, queries.where("false"), 4, variant).count() == 0
+
+
 def test_candidates_keep_zero_scores_in_order(spark):
     rows = [("q", "nothing", i, t) for i, t in ((2, "x"), (1, "y"), (3, None))]
     scored = lexical.candidate_bm25(spark.createDataFrame(rows, "query_id string, question string, item int, text string"))

@@ -44,6 +44,12 @@ def test_bm25_top_k_equals_the_scores_of_all_pairs(spark, monkeypatch, variant):
     assert lexical.bm25_top_k(corpus.where("false"), queries, 4, variant).count() == lexical.bm25_top_k(corpus, queries.where("false"), 4, variant).count() == 0
 
 
+@pytest.mark.parametrize("query", [core.bm25_corpus_topk, core.bm25_fts_variant_topk])
+def test_searches_make_no_row_for_each_pair(spark, data, query):
+    plan = query(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "Join" not in plan
+
+
 def test_candidates_keep_zero_scores_in_order(spark):
     rows = [("q", "nothing", i, t) for i, t in ((2, "x"), (1, "y"), (3, None))]
     scored = lexical.candidate_bm25(spark.createDataFrame(rows, "query_id string, question string, item int, text string"))

@@ -1,4 +1,4 @@
-"""Clusters of texts whose word shingles nearly agree: MinHash candidates, each verified."""
+"""Clusters of texts whose word shingles nearly agree, by an exact join of the sets of shingle hashes."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from askmill.tables import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 12
-ROWS = 3
+#: Two sets with fewer members together than this that are alike differ by one member at most.
+LARGE = 2 * (1 + SIMILARITY) / (1 - SIMILARITY) - 1e-6
 
 
 def shingles(text: Column, size: int = SHINGLE) -> Column:
@@ -23,32 +23,41 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(runs)
 
 
-def _least(hashes: Column, seed: int) -> Column:
-    """The smallest of ``hashes`` under one of the hash functions."""
-    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
-
-
-def bands(hashes: Column) -> Column:
-    """One key for each band of ``ROWS`` minimum hashes."""
-    return F.array(*(F.xxhash64(F.lit(b), *(_least(hashes, b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
-
-
 def clusters(texts: DataFrame) -> DataFrame:
     """(text, cluster) for the different values of ``texts(text)``; a text like no other is its own cluster.
 
-    Texts that share a band are compared with the first and the last of that bucket, not all with each other, so
-    that a bucket costs as many comparisons as it has members; a pair counts if the Jaccard similarity of the
-    shingles is ``SIMILARITY`` or more. Members that miss both meet through their other bands. Only numbers of texts
-    are grouped by band; the shingles join the pairs that come of it. Null texts have no row.
+    Two texts are linked if the Jaccard similarity of their shingles is ``SIMILARITY`` or more, and no such pair is left
+    out. Texts of the same shingles are one set. Small sets that are alike are equal but for one member, so that the
+    larger without one of its members is looked up among the whole ones, a few keys for each set. Pairs of larger sets
+    share one of the rarest members of either and are compared if they do. Null texts have no row.
     """
-    own = texts.where("text IS NOT NULL").select("text").distinct().select(F.monotonically_increasing_id().alias("id"), "text", shingles(F.col("text")).alias("hashes"))
-    own = cut(own)  # numbers hold from here on
-    keyed = own.select("id", F.explode(bands(F.col("hashes"))).alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    pairs = keyed.join(hubs, "band").select("id", F.explode(F.array("lo", "hi")).alias("hub")).where("id != hub")
-    pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    side = own.select("id", "hashes")
+    own = texts.where("text IS NOT NULL").select("text").distinct()
+    own = cut(own.select(F.monotonically_increasing_id().alias("id"), "text", F.array_sort(shingles(F.col("text"))).alias("hashes")))  # numbers hold from here on
+    sets = cut(own.groupBy("hashes").agg(F.min("id").alias("set"), F.size("hashes").alias("n")).select("set", "n", "hashes"))
+    whole = sets.select(F.col("set").alias("a"), F.xxhash64("hashes").alias("key"))
+    less = F.transform("hashes", lambda h: F.xxhash64(F.array_except("hashes", F.array(h))))
+    small = sets.where((F.col("n") > 1) & (F.col("n") - 1 >= SIMILARITY * F.col("n")) & (2 * F.col("n") - 1 < LARGE))
+    pairs = small.select(F.col("set").alias("b"), F.explode(less).alias("key")).join(whole, "key").select("a", "b")
+    if (sets.agg(F.max("n")).first()[0] or 0) * 2 >= LARGE:
+        pairs = pairs.unionByName(_large_pairs(sets)).distinct()
+    side = sets.select("set", "hashes")
     both = pairs.join(side.toDF("a", "ha"), "a").join(side.toDF("b", "hb"), "b")
     alike = F.size(F.array_intersect("ha", "hb")) >= SIMILARITY * F.size(F.array_union("ha", "hb"))
-    named = components(both.where(alike).select("a", "b")).toDF("id", "component")
-    return own.join(named, "id", "left").select("text", F.coalesce("component", "id").alias("cluster"))
+    named = components(both.where(alike).select("a", "b")).toDF("set", "component")
+    named = sets.join(named, "set", "left").select("hashes", F.coalesce("component", "set").alias("cluster"))
+    return own.join(named, "hashes").select("text", "cluster")
+
+
+def _large_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of ``sets(set, n, hashes)``: with ``LARGE`` members or more together, each of a pair that is alike.
+
+    All but so many members of a set are in the other one; of so many and one more, the rarest, one is in the other's.
+    """
+    rows = sets.where(F.col("n") >= SIMILARITY * LARGE / 2 - 1).select("set", "n", F.explode("hashes").alias("h"))
+    ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
+    missing = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9)
+    rare = ranked.select("set", "n", F.explode(F.slice("all", F.lit(1), (missing + 1).cast("int"))).alias("m")).select("set", "n", F.col("m.h").alias("h"))
+    a, b = rare.toDF("a", "na", "h"), rare.toDF("b", "nb", "h")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = (F.col("na") + F.col("nb") >= LARGE) & (F.col("na") >= SIMILARITY * F.col("nb") - 1e-9)
+    return a.join(b, "h").where(ordered & near).select("a", "b").distinct()

@@ -108,7 +108,7 @@ def templates(rows: DataFrame) -> DataFrame:
     """(opening, refuses): clusters of answer openings that decline.
 
     Names and numbers of an opening are masked, so that one template is the same text whatever it is asked
-    about. Openings are clustered by verified MinHash (twelve words that differ within are too unlike to meet;
+    about. Openings are clustered by their shingles (twelve words that differ within are too unlike to meet;
     a word more at an end joins). A cluster that recurs across ``UNLISTED`` unrelated prompts refuses if it has nothing
     to do with any of them: at least half of its rows are ``bare`` and none is ``supported`` by the gold answer. What that can't
     tell, since a refusal may name what it was asked about or be in another language than the question, phrases decide: a

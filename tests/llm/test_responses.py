@@ -103,3 +103,34 @@ def test_clusters_against_all_pairs(spark):
     pairs = [(a, b) for a in texts for b in texts if a < b and len(runs(a) & runs(b)) >= 0.8 * len(runs(a) | runs(b))]
     of = {r.text: r.cluster for r in minhash.clusters(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert pairs and sum(of[a] == of[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_clusters_leave_out_no_pair(spark):
+    import random
+
+    draw, texts = random.Random(11), set()
+    words = [f"w{i}" for i in range(40)]
+    for length, families in ((8, 40), (9, 40), (11, 40), (14, 30), (25, 30), (60, 10)):
+        for _ in range(families):
+            base = draw.choices(words, k=length)
+            for _ in range(12):
+                start, end = draw.randint(0, 2), draw.choices(words, k=draw.randint(0, 2))
+                texts.add(" ".join(base[start : length - draw.randint(0, 2)] + end))
+    texts = sorted(texts) + ["", "one"]
+
+    def runs(t):
+        w = t.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    sets, of = {t: runs(t) for t in texts}, {t: t for t in texts}
+
+    def top(t):
+        return t if of[t] == t else top(of[t])
+
+    for a in texts:
+        for b in texts:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                of[top(b)] = top(a)
+    got = {r.text: r.cluster for r in minhash.clusters(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert len(got) == len(texts)
+    assert len(set(got.values())) == len({top(t) for t in texts}) == len({(got[t], top(t)) for t in texts})
